@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, token_counts, token_output
+from gridloom.llm import chat, jaccard_join, token_counts, token_output
 
 
 def queries():
@@ -10,10 +10,11 @@ def queries():
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op8_token_output": token_output.op8_token_output,
     }
 
 
 def oracle_sql():
     """Query name -> DuckDB SQL over the same tables."""
-    return {"op1_chat_format": chat.OP1_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL}
