@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, jaccard_join, token_counts, token_output
+from gridloom.llm import chat, fingerprints, jaccard_join, token_counts, token_output
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op8_token_output": token_output.op8_token_output,
     }
