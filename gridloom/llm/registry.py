@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, fingerprints, jaccard_join, token_counts, token_output
+from gridloom.llm import chat, fingerprints, jaccard_join, language_id, token_counts, token_output, warc
 
 
 def queries():
@@ -13,9 +13,11 @@ def queries():
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op8_token_output": token_output.op8_token_output,
+        "op9_language_id": language_id.op9_language_id,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql():
     """Query name -> DuckDB SQL over the same tables."""
-    return {"op1_chat_format": chat.OP1_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op10_warc": warc.OP10_SQL}
