@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, decontaminate, fingerprints, jaccard_join, language_id, mixing, token_counts, token_output, warc
+from gridloom.llm import chat, decontaminate, fingerprints, jaccard_join, language_id, mixing, pii, token_counts, token_output, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+        "op5_personal_data": pii.op5_personal_data,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
         "op8_token_output": token_output.op8_token_output,
