@@ -130,6 +130,8 @@ def _shared(batches):
     def some(t, whole):
         token = t.column(0).to_numpy()
         cut = len(token) if whole else int(np.searchsorted(token, token[-1], "left"))
+        if not cut:  # one token so far
+            return t.slice(0, 0), t
         same = token[1:cut] == token[: cut - 1]
         keep = np.zeros(cut, bool)
         keep[1:] |= same
