@@ -1,9 +1,79 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: each stage takes the documents that its predecessor kept.
 
-STAGES = []
+Language identification drops what it can't name a language for; of each group of near-duplicates
+by n-gram Jaccard similarity the smallest doc_id stays; documents with benchmark passages go;
+sources are mixed to their target weights, a document as often as it is taken; the rest is written
+as token files and read back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm.decontaminate import contamination
+from gridloom.llm.jaccard_join import jaccard_components
+from gridloom.llm.language_id import held_out, identify, train
+from gridloom.llm.mixing import mix
+from gridloom.llm.shared import sized, stored, table
+from gridloom.llm.token_output import token_file_rows
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` whose doc_id is not in ``gone``; rows of one doc_id share their fate."""
+    return docs.join(sized(stored(gone.select("doc_id").distinct(), "gone")), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: ``und`` (null text, or no letter) goes, and so does what has no doc_id."""
+    got = identify(docs, train(docs.where(~held_out())))
+    return _without(docs.where("doc_id is not null"), got.where("lang_pred = 'und'"))
+
+
+def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the smallest doc_id, and of rows that repeat it one."""
+    kept = _without(docs, jaccard_components(docs).where("doc_id <> component_id"))
+    repeated = stored(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    once = kept.join(sized(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d"))
+    return kept.join(sized(repeated), "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select("doc_id", "d.*"))
+
+
+def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those of size 0 once."""
+    copies = mix(docs).select("doc_id", F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias("copies"))
+    wanted = sized(stored(copies.where("copies > 0"), "copies"))
+    return docs.join(wanted, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    import public_tokenizers
+
+    return token_file_rows(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("jaccard_join", duplicates_stage),
+    ("decontamination", contamination_stage),
+    ("mixing", mixing_stage),
+    ("token_output", tokens_stage),
+]
+
+#: Classification, mixing and token encoding have no SQL form; the tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Documents through all stages."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through all stages, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
