@@ -63,9 +63,11 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 64) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node.
 
-    Rounds of minimum propagation followed by pointer jumping, each written to the shared
-    folder; nothing is gathered at the driver but a count of changes. Null ends are ignored,
-    loops and repeated edges are harmless, and an empty table gives an empty result.
+    Rounds in which every node's grandparent label is offered to its neighbours and to their
+    parents (so whole trees are hooked at once), each written to the shared folder; the number
+    of rounds grows with the logarithm of the longest path. Nothing is gathered at the driver
+    but whether something changed. Null ends are ignored, loops and repeated edges are harmless,
+    and an empty table gives an empty result.
     """
     spark = edges.sparkSession
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
@@ -73,15 +75,14 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 64
     least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
     state = stored(least.select("node", F.least("node", "m").alias("component")), label)
     for _ in range(max_rounds):
-        heard = (
-            both.join(state.select(F.col("node").alias("b"), F.col("component").alias("c")), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        )
-        met = state.join(heard, "node").select("node", "component", F.least("component", "c").alias("n"))
-        # the component of the component: pointer jumping
-        jump = state.select(F.col("node").alias("n"), F.col("component").alias("j"))
-        nxt = stored(met.join(jump, "n", "left").select("node", F.least("n", F.coalesce("j", "n")).alias("component"),
-                                                        (F.col("component") != F.least("n", F.coalesce("j", "n"))).alias("moved")), label)
+        up = state.select(F.col("node").alias("component"), F.col("component").alias("g"))
+        grand = state.join(up, "component").select("node", "component", "g")
+        offers = both.join(grand.select(F.col("node").alias("b"), F.col("g")), "b").groupBy("a").agg(F.min("g").alias("g"))
+        offers = offers.join(state.select(F.col("node").alias("a"), "component"), "a")
+        heard = offers.select(F.explode(F.array("a", "component")).alias("node"), "g").unionByName(grand.select("node", "g"))
+        heard = heard.groupBy("node").agg(F.min("g").alias("g"))
+        nxt = state.join(heard, "node").select("node", F.least("component", "g").alias("component"), (F.col("g") < F.col("component")).alias("moved"))
+        nxt = stored(nxt, label)
         moved = nxt.where("moved").limit(1).count()
         dropped(spark, state)
         state = nxt.select("node", "component")
