@@ -7,12 +7,11 @@ one class from the start.
 
 Two sets that reach the threshold share many n-grams of their first three tenths; a document
 with fewer shared ones there than any partner would give cannot link and is left out. The
-rest is grouped by its first shared n-gram (a branch at the root of the tree), then those
-that still share n-grams with documents of other components and other groups by their next
-one, and so on. Each group's sets are stored in a tree in global order and all other sets'
+rest is grouped by its first shared n-grams of each class of frequency (branches at the root of
+the tree), leaving out groups whose members all met in an earlier one. Each group's sets are stored in a tree in global order and all other sets'
 overlaps are carried along its branches as one vector, shared by the sets below; a branch is
-left as soon as what remains cannot bring any overlap to its bound. Pairs that never met in a
-group are listed from their shared prefix n-grams, filtered by the number shared, and
+left as soon as what remains cannot bring any overlap to its bound. Pairs of different
+components that never met in a group are listed from their shared prefix n-grams, filtered by the number shared, and
 verified in the same tree. No pair inside a component is needed and none between
 components is skipped.
 """
@@ -21,11 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.shared import components, dropped, sized, stored, table
@@ -33,9 +31,9 @@ from gridloom.llm.shingles import shingle_hashes
 from gridloom.llm.tokenizing import plain_text
 
 #: Cells of the counting table (a power of two), slices in which it is summed, members of a group before it is dealt out.
-CELL_BITS, SLICES, GROUP = 18, 64, 1024
-#: Rounds of grouping before the remaining pairs are listed.
-LEVELS = 3
+CELL_BITS, SLICES, GROUP = 18, 64, 4096
+#: Groups that a document joins: its first shared n-grams, so many of each class of frequency (powers of 4).
+PICKS = 3
 _TOP = np.uint64(1 << 63)
 
 
@@ -157,6 +155,13 @@ def _packed_sets(held):
     return run
 
 
+def _root(parent: dict, x: int) -> int:
+    while parent.get(x, x) != x:
+        parent[x] = parent.get(parent[x], parent[x])
+        x = parent[x]
+    return x
+
+
 def tree_links(sets: list[np.ndarray], labels: np.ndarray, probes: np.ndarray | None = None):
     """Pairs (i, j) of sets (sorted, in global order) that link, enough to connect all that do.
 
@@ -188,13 +193,6 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, probes: np.ndarray |
         diff = a[:n] != b[:n]
         common[i] = int(diff.argmax()) if diff.any() else n
     parent: dict = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
     stack = [(0, k, 0, np.zeros(k, np.int64))]
     while stack:
         lo, hi, depth, over = stack.pop()
@@ -217,7 +215,7 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, probes: np.ndarray |
         if hi - lo == 1:
             hit = np.flatnonzero((over >= pair_need(full, full[lo])) & later & (tags != tags[lo]) & (asks | asks[lo]))
             for j in hit.tolist():
-                a, b = root(("l", tags[lo])), root(("l", tags[j]))
+                a, b = _root(parent, int(tags[lo])), _root(parent, int(tags[j]))
                 if a != b:
                     parent[a] = b
                     yield int(alive[lo]), int(alive[j])
@@ -247,47 +245,51 @@ def _link(batches):
             continue
         reps = [r[0] for r in rows]
         sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        pairs = list(tree_links(sets, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])))
-        if pairs:
-            yield pa.record_batch([pa.array([reps[i] for i, _ in pairs], pa.int64()), pa.array([reps[j] for _, j in pairs], pa.int64())], ["a", "b"])
+        parent: dict = {}
+        for i, j in tree_links(sets, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])):
+            a, b = sorted((_root(parent, reps[i]), _root(parent, reps[j])))
+            if a != b:
+                parent[b] = a
+        if parent:  # stars around the smallest
+            yield pa.record_batch([pa.array([_root(parent, x) for x in parent], pa.int64()), pa.array(list(parent), pa.int64())], ["a", "b"])
 
 
-def _listed(levels):
-    """Of rows (token, rep, n, label, groups...) sorted by token: for each rep those after it that no group has compared."""
+def _listed(batches):
+    """Of rows (token, rep, n, label, picks) sorted by token: for each rep those after it that no group has compared."""
 
     def pairs(t):
         token, rep, n, label = (t.column(i).to_numpy() for i in range(4))
-        met = [t.column(4 + i).fill_null(-1).to_numpy() for i in range(2 * levels)]  # a salt is never negative
+        lists = t.column(4).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1])).tolist() + [len(token)]
         for lo, hi in zip(cuts, cuts[1:]):
+            part, first = slice(lo, hi), offs[lo:hi] - offs[lo]
+            here = flat[offs[lo] : offs[hi]]
             for i in range(lo, hi):
-                part = slice(lo, hi)
                 ok = (rep[part] > rep[i]) & (label[part] != label[i]) & (np.minimum(n[part], n[i]) >= need(np.maximum(n[part], n[i])))
-                for g, salt in zip(met[::2], met[1::2]):
-                    ok &= (g[part] != g[i]) | (salt[part] != salt[i]) | (salt[i] < 0)
                 if ok.any():
-                    yield rep[i], n[i], np.stack([rep[part][ok], n[part][ok].astype(np.int64)]).tobytes()
+                    ok &= ~np.logical_or.reduceat(np.isin(here, flat[offs[i] : offs[i + 1]]), first)
+                    if ok.any():
+                        yield rep[i], n[i], np.stack([rep[part][ok], n[part][ok].astype(np.int64)]).tobytes()
 
-    def run(batches):
-        kept = None
-
-        def out(t):
-            got = list(pairs(t))
-            if got:
-                yield pa.record_batch([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.binary())], ["rep", "n", "others"])
-
-        for b in batches:
-            if b.num_rows:
-                t = pa.Table.from_batches([b])
-                kept = (t if kept is None else pa.concat_tables([kept, t])).combine_chunks()
-                token = kept.column(0).to_numpy()
-                cut = int(np.searchsorted(token, token[-1], "left"))
-                yield from out(kept.slice(0, cut)) if cut else ()
-                kept = kept.slice(cut)
-        if kept is not None and kept.num_rows:
-            yield from out(kept.combine_chunks())
+    def out(t):
+        got = list(pairs(t))
+        if got:
+            yield pa.record_batch([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.binary())], ["rep", "n", "others"])
 
-    return run
+    kept = None
+    for b in batches:
+        if b.num_rows:
+            t = pa.Table.from_batches([b])
+            kept = (t if kept is None else pa.concat_tables([kept, t])).combine_chunks()
+            token = kept.column(0).to_numpy()
+            cut = int(np.searchsorted(token, token[-1], "left"))
+            if cut:
+                yield from out(kept.slice(0, cut))
+            kept = kept.slice(cut)
+    if kept is not None and kept.num_rows:
+        yield from out(kept.combine_chunks())
 
 
 def _counted(batches):
@@ -366,46 +368,40 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     reps = stored(a.select("rep").distinct(), "reps")
     sets = stored(rows.join(sized(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_packed_sets(held), "rep long, n long, grams binary"), "grams")
 
-    edges, labels = [], None
-    a = a.withColumns({f"g{i}": F.lit(None).cast("long") for i in range(LEVELS)} | {f"s{i}": F.lit(None).cast("long") for i in range(LEVELS)})
-    a = a.withColumn("last", F.lit(None).cast("long")).withColumn("label", F.col("rep"))
-
     def linked(groups):
-        """Links inside groups (g1, g2, rep, label, probe)."""
-        members = _dealt(groups.join(sets, "rep").select("g1", "g2", "rep", "label", "probe", "grams"), "g1", "g2")
-        got = stored(members.mapInArrow(_link, "a long, b long"), "links")
-        edges.append(got)
-        return components(reduce(DataFrame.unionByName, edges))
-
-    for level in range(LEVELS + 1):
-        one = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))
-        covered = one("label")
-        for i in range(level):
-            covered = covered | one(f"g{i}") & one(f"s{i}")
-        open_tokens = a.groupBy("token").agg(covered.alias("done")).where("not done").select("token")
-        left = stored(a.join(open_tokens, "token", "left_semi"), "open")
-        if left.limit(1).count() == 0:
-            break
-        if level < LEVELS:
-            pick = left.where("last is null or token > last").groupBy("rep").agg(F.min("token").alias(f"g{level}"), F.first("label").alias("label"))
-            crowd = pick.groupBy(f"g{level}").agg(F.count("*").alias("k"))
-            pick = stored(pick.join(crowd, f"g{level}").select("rep", "label", f"g{level}", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / GROUP)).alias(f"s{level}")), "groups")
-            labels = linked(pick.select(F.col(f"g{level}").alias("g1"), F.col(f"s{level}").alias("g2"), "rep", "label", F.lit(True).alias("probe")))
-            fresh = pick.drop("label").join(labels.select(F.col("node").alias("rep"), F.col("component").alias("fresh")), "rep", "left")
-            left = left.drop(f"g{level}", f"s{level}").join(fresh, "rep", "left")
-            a = left.withColumn("last", F.coalesce(f"g{level}", "last")).withColumn("label", F.coalesce("fresh", "label")).drop("fresh")
-        else:
-            met = [c for i in range(LEVELS) for c in (f"g{i}", f"s{i}")]
-            lists = _dealt(left.select("token", "rep", "n", "label", *met), "token").mapInArrow(_listed(LEVELS), "rep long, n long, others binary")
-            groups = stored(_dealt(lists, "rep").mapInArrow(_counted, "g1 long, rep long, probe boolean"), "pairs")
-            tags = left.groupBy("rep").agg(F.first("label").alias("label"))
-            labels = linked(groups.join(tags, "rep").select("g1", F.lit(0).cast("long").alias("g2"), "rep", "label", "probe"))
+        """Links inside groups (g1, rep, label, probe)."""
+        members = _dealt(groups.join(sets, "rep").select("g1", F.lit(0).alias("g2"), "rep", "label", "probe", "grams"), "g1")
+        return stored(members.mapInArrow(_link, "a long, b long"), "links")
+
+    # groups by the first shared n-grams; a very large one is dealt out, and what that parts is listed below
+    crowd = a.groupBy("token").agg(F.count("*").alias("k")).withColumn("class", F.floor(F.log(4.0, "k")))
+    order = Window.partitionBy("rep", "class").orderBy("token")
+    picks = a.join(crowd, "token").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PICKS)
+    salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / GROUP))
+    picks = picks.select("rep", "token", F.when(F.col("k") <= GROUP, F.col("token")).otherwise(F.xxhash64("token", salt)).alias("g1"))
+    per = picks.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("token", "g1"))).alias("p"))
+    per = stored(per.select("rep", F.get("p", 0)["g1"].alias("first"), F.transform("p", lambda x: x["g1"]).alias("picks")), "picks")
+    picks = per.select("rep", "first", F.explode("picks").alias("g1"))
+    fresh = (F.count("*") > 1) & ((F.min("first") != F.max("first")) | (F.min("first") == F.col("g1")))
+    groups = stored(picks.groupBy("g1").agg(fresh.alias("fresh")).where("fresh").select("g1").join(picks, "g1").select("g1", "rep", F.col("rep").alias("label"), F.lit(True).alias("probe")), "groups")
+    edges = linked(groups)
+    labels = components(edges)
+
+    # pairs of different components that have not met
+    named_a = a.join(per, "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    met = (F.min("label") == F.max("label")) | (F.min("first") == F.max("first"))
+    left = stored(named_a.select("token", "rep", "n", "label", "picks", "first"), "labelled")
+    open_tokens = left.groupBy("token").agg(met.alias("met")).where("not met").select("token")
+    lists = _dealt(left.join(open_tokens, "token", "left_semi").drop("first"), "token").mapInArrow(_listed, "rep long, n long, others binary")
+    pairs = stored(_dealt(lists, "rep").mapInArrow(_counted, "g1 long, rep long, probe boolean"), "pairs")
+    if pairs.limit(1).count():
+        more = linked(pairs.join(left.groupBy("rep").agg(F.first("label").alias("label")), "rep"))
+        if more.limit(1).count():
+            labels = components(edges.unionByName(more))
+    dropped(spark, a, left, sets)
 
     out = each.join(classes.where("doc_id <> rep"), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    if labels is not None:
-        out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
