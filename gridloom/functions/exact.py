@@ -7,6 +7,7 @@ Spark would widen the arithmetic to DOUBLE.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import Column
@@ -32,13 +33,14 @@ def _negative_zero(a: Column) -> Column:
 
 def go_min(a: Column, b: Column) -> Column:
     """Minimum that absorbs NaN and orders -0 below +0; NULL if either is."""
-    m = F.when((a == 0) & (b == 0), F.when(_negative_zero(a) | _negative_zero(b), lit_f(-0.0)).otherwise(lit_f(0.0))).otherwise(F.least(a, b))
+    # zeros come from the operands: the optimizer takes the literals 0.0 and -0.0 for equal and folds them
+    m = F.when((a == 0) & (b == 0), F.when(_negative_zero(a), a).otherwise(b)).otherwise(F.least(a, b))
     return F.when(a.isNull() | b.isNull(), None).when(F.isnan(a) | F.isnan(b), nan_f()).otherwise(m)
 
 
 def go_max(a: Column, b: Column) -> Column:
     """Maximum that absorbs NaN and orders -0 below +0; NULL if either is."""
-    m = F.when((a == 0) & (b == 0), F.when(_negative_zero(a) & _negative_zero(b), lit_f(-0.0)).otherwise(lit_f(0.0))).otherwise(F.greatest(a, b))
+    m = F.when((a == 0) & (b == 0), F.when(_negative_zero(a), b).otherwise(a)).otherwise(F.greatest(a, b))
     return F.when(a.isNull() | b.isNull(), None).when(F.isnan(a) | F.isnan(b), nan_f()).otherwise(m)
 
 
@@ -90,9 +92,9 @@ def lookup(a: Column, xs: list[float], ys: list[float]) -> Column:
 
 def wrapped(a: Column, bits: int, signed: bool = True) -> Column:
     """An integer expression in LONG (or DECIMAL) reduced to ``bits`` bits, as machine integers wrap."""
-    full = F.lit(1 << bits).cast("decimal(38,0)")
+    full = F.lit(Decimal(1 << bits)).cast("decimal(38,0)")
     wide = a.cast("decimal(38,0)")
     if not signed:
         return F.pmod(wide, full)
-    half = F.lit(1 << (bits - 1)).cast("decimal(38,0)")
+    half = F.lit(Decimal(1 << (bits - 1))).cast("decimal(38,0)")
     return F.pmod(wide + half, full) - half

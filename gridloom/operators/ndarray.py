@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +66,8 @@ class NdArray:
     @classmethod
     def from_numpy(cls, spark: SparkSession, data: np.ndarray, valid: np.ndarray | None = None) -> NdArray:
         """An array that passes through the driver."""
-        rows = [(*map(int, at), None if valid is not None and not valid[at] else data[at].item()) for at in np.ndindex(data.shape)]
+        number = Decimal if str(data.dtype) == "uint64" else lambda v: v
+        rows = [(*map(int, at), None if valid is not None and not valid[at] else number(data[at].item())) for at in np.ndindex(data.shape)]
         schema = ", ".join([*(f"i{k} int" for k in range(data.ndim)), f"v {TYPES[str(data.dtype)][0]}"])
         return cls(spark.createDataFrame(rows, schema), data.shape, str(data.dtype))
 

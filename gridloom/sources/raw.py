@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
-from gridloom.raster import Raster, gathered
+from gridloom.raster import Raster, eroded
 from gridloom.sources.store import put, reader, store_of
 
 #: Cells that a task reads or writes at a time.
@@ -131,34 +131,70 @@ def join_strips(path: str, target: str) -> None:
                     f.write(chunk)
 
 
-def raw_stencil(spark: SparkSession, path: str, width: int, height: int, target: str, radius: int, kernel, fill: float | None = None, out_fill: float = float("nan")) -> None:
-    """A neighbourhood operation from a raw file to a folder of strips, without any shuffle.
+def raw_map(spark: SparkSession, paths: list[str], width: int, height: int, target: str, radius: int, kernel, fill: float | None = None, out_fill: float = float("nan")) -> None:
+    """An operation from raw files of one size to a folder of strips, without any shuffle.
 
-    Each task reads its strip and ``radius`` rows around it; memory is one strip whatever the raster's size.
+    ``kernel`` gets a strip of each file with ``radius`` cells around it. Each task reads its rows and
+    ``radius`` rows around them, so memory is one strip whatever the raster's size. A cell is valid
+    where all cells within the radius are, in all files, the edge counting as invalid.
     """
-    from gridloom.raster import eroded
-
     rows = _strips(height, width)
     store, p = store_of(target)
     store.create_dir(p, recursive=True)
     n = -(-height // rows)
 
     def run(batches):
-        read = reader(path)
+        reads = [reader(p) for p in paths]
         for b in batches:
             for k in b.column(0).to_pylist():
                 y0, y1 = k * rows, min(height, (k + 1) * rows)
                 a, z = max(0, y0 - radius), min(height, y1 + radius)
-                data = np.frombuffer(read(4 * width * a, 4 * width * (z - a)), "<f4").reshape(z - a, width)
-                pad = ((a - (y0 - radius), y1 + radius - z), (radius, radius))
-                ok = np.pad(valid_cells(data, fill), pad)
+                strips, ok = [], None
+                for read in reads:
+                    raw = read(4 * width * a, 4 * width * (z - a))
+                    if len(raw) != 4 * width * (z - a):
+                        raise EOFError("a raw file is short")
+                    data = np.frombuffer(raw, "<f4").reshape(z - a, width)
+                    if fill is not None:
+                        good = valid_cells(data, fill)
+                        ok = good if ok is None else ok & good
+                    strips.append(np.pad(data, ((a - (y0 - radius), y1 + radius - z), (radius, radius))) if radius else data)
                 with np.errstate(all="ignore"):
-                    v = kernel(np.pad(data, pad))
-                put(f"{target}/strip-{k:08d}.f32", np.where(eroded(ok, radius), v, np.float32(out_fill)).astype("<f4").tobytes())
+                    v = np.asarray(kernel(*strips), "<f4")
+                if ok is not None:
+                    good = eroded(np.pad(ok, ((a - (y0 - radius), y1 + radius - z), (radius, radius))), radius)
+                    v = np.where(good, v, np.float32(out_fill))
+                elif radius:
+                    v = np.array(v)
+                    v[:, :radius], v[:, width - radius :] = out_fill, out_fill
+                    v[: max(0, radius - y0)], v[max(0, height - radius - y0) :] = out_fill, out_fill
+                put(f"{target}/strip-{k:08d}.f32", v.astype("<f4", copy=False).tobytes())
                 yield pa.record_batch([pa.array([k], pa.int64())], ["k"])
 
-    spark.range(0, n, 1, min(n, 10_000)).mapInArrow(run, "k long").count()
+    spark.range(0, n, 1, max(1, min(n, 10_000))).mapInArrow(run, "k long").count()
     put(f"{target}/manifest.json", json.dumps({"width": width, "height": height, "rows": rows, "fill": str(out_fill)}).encode())
 
 
-__all__ = ["gathered", "join_strips", "raw_stencil", "read_raw", "scratch_path", "valid_cells", "write_raw"]
+def raw_stencil(spark: SparkSession, path: str, width: int, height: int, target: str, radius: int, kernel, fill: float | None = None, out_fill: float = float("nan")) -> None:
+    """``raw_map`` of one file."""
+    raw_map(spark, [path], width, height, target, radius, kernel, fill, out_fill)
+
+
+def raw_min_max(spark: SparkSession, path: str, width: int, height: int, fill: float | None = None):
+    """One row (min, max, count) of a raw file, NaN-absorbing; a row for each strip meets in one aggregate."""
+    rows = _strips(height, width)
+
+    def run(batches):
+        read = reader(path)
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                z = np.frombuffer(read(4 * width * k * rows, 4 * width * (min(height, (k + 1) * rows) - k * rows)), "<f4")
+                z = z[valid_cells(z, fill)] if fill is not None else z
+                lo, hi = (float(z.min()), float(z.max())) if len(z) else (None, None)
+                yield pa.record_batch([pa.array([lo], pa.float32()), pa.array([hi], pa.float32()), pa.array([len(z)], pa.int64())], ["lo", "hi", "n"])
+
+    n = -(-height // rows) if width and height else 0
+    parts = spark.range(0, n, 1, max(1, min(n, 10_000))).mapInArrow(run, "lo float, hi float, n long")
+    nan = F.lit(float("nan")).cast("float")
+    none = F.max(F.isnan("lo").cast("int")) == 1
+    return parts.agg(F.when(none, nan).otherwise(F.coalesce(F.min("lo"), nan)).alias("min"), F.when(none, nan).otherwise(F.coalesce(F.max("hi"), nan)).alias("max"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
