@@ -92,6 +92,15 @@ class NdArray:
             where = where & (F.col(a) == i)
         return self.df.where(where).select("v", F.col("v").isNotNull().alias("valid"))
 
+    def validate(self) -> None:
+        """Raise unless every element is there once."""
+        inside = F.lit(True)
+        for a, n in zip(self.axes, self.shape):
+            inside = inside & F.col(a).between(0, n - 1)
+        n, distinct, good = self.df.agg(F.count("*"), F.countDistinct(*self.axes) if self.axes else F.count("*"), F.count(F.when(inside, 1))).first()
+        if not n == distinct == good == len(self):
+            raise ValueError(f"{n} elements, {distinct} distinct, {good} inside, for shape {self.shape}")
+
     def slice(self, axis: int, start: int, end: int) -> NdArray:
         """A range of an axis, which stays."""
         if not 0 <= start <= end <= self.shape[axis]:

@@ -91,6 +91,20 @@ class Raster:
         if not n == distinct == inside == self.width * self.height:
             raise ValueError(f"{n} cells, {distinct} distinct, {inside} inside, for {self.width} x {self.height}")
 
+    def nan_edges(self, radius: int) -> Raster:
+        """Cells within ``radius`` of the edge as valid NaNs: what a neighbourhood operation gives where nothing is masked."""
+        edge = (F.col("y") < radius) | (F.col("x") < radius) | (F.col("y") >= self.height - radius) | (F.col("x") >= self.width - radius)
+        v = F.when(edge, F.lit("NaN").cast("float")).otherwise(F.col("v"))
+        return Raster(self.df.withColumn("v", v), self.width, self.height, self.grid)
+
+    def amplification(self, radius: int, tile: int = TILE) -> float:
+        """Cells that a neighbourhood operation's shuffle moves for each cell of the raster."""
+
+        def along(n: int) -> int:
+            return sum(min(n, a + tile + radius) - max(0, a - radius) for a in range(0, n, tile))
+
+        return along(self.height) * along(self.width) / (self.height * self.width) if self.height and self.width else 1.0
+
     def scanlines(self) -> DataFrame:
         """Rows (y, v ARRAY<FLOAT>); NULL elements are invalid."""
         cells = F.array_sort(F.collect_list(F.struct("x", "v")))

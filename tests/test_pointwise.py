@@ -95,6 +95,9 @@ def test_raster_surface(spark):
     assert (again == ok).all() and same(back[ok], z[ok])
     cleared, valid = r.set_valid(F.col("x") == 0, False).to_numpy()
     assert not valid[:, 0].any()
+    edges, valid = r.nan_edges(2).to_numpy()
+    assert valid[:2].all() and np.isnan(edges[:, -2:]).all() and same(edges[2:-2, 2:-2][ok[2:-2, 2:-2]], z[2:-2, 2:-2][ok[2:-2, 2:-2]])
+    assert r.amplification(1, 5) == (6 + 6) * (6 + 7 + 7 + 6) / 200 and r.amplification(0) == 1.0
     tiles = {(t.ty, t.tx): np.frombuffer(t.data, "<f4") for t in r.tiles(1, 8).collect()}
     assert len(tiles) == 6 and len(tiles[0, 0]) == 100
 

@@ -76,6 +76,9 @@ def test_views(stack):
     ):
         v, valid = values(got)
         assert got.shape == want.shape and (valid == good).all() and (v[good] == want[good]).all()
+    a.validate()
+    with pytest.raises(ValueError):
+        NdArray(a.df.where("i0 > 0"), a.shape).validate()
     assert a.at(0, 1, 2).first()["valid"] is False and len(a) == 60 and a.rank == 3
 
 
