@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.batches import frugal
 from gridloom.llm.shared import table
 from gridloom.llm.shingles import shingle_hashes
 from gridloom.llm.tokenizing import plain_text
@@ -79,7 +80,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", scale
     """Rows (``key``, fingerprint), one for each row; null texts count as empty ("0:"), other columns are not carried."""
 
     def run(batches):
-        for b in batches:
+        for b in frugal(batches, 1):
             yield pa.record_batch([b.column(0), pa.array([encoded(*sketch(h, scale)) for h in shingle_hashes(plain_text(b.column(1)))], pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint string").withColumnRenamed("doc_id", key)
@@ -120,7 +121,7 @@ def fingerprints_beside_next(docs: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches):
         held = None  # the row before this batch: part, doc_id, text, sketch
-        for b in batches:
+        for b in frugal(batches, 4):
             texts = plain_text(b.column(4))
             own = [sketch(h, scale) for h in shingle_hashes(texts)]
             rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), texts.to_pylist(), own))

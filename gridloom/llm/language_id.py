@@ -16,13 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.batches import frugal
 from gridloom.llm.shared import table
 from gridloom.llm.tokenizing import plain_text
 
 BUCKETS, GRAMS, SMOOTH, EVIDENCE = 1 << 15, 4, 0.5, 50.0
 #: Languages that a model holds at most, so that its matrix stays under 130 MB.
 MOST_LANGUAGES = 1000
-_GROUP_CHARS = 1 << 20
+_GROUP_CHARS = 1 << 19
 
 
 def _letters(texts: pa.Array):
@@ -63,7 +64,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
 
     def count(batches):
         sums: dict = {}
-        for b in batches:
+        for b in frugal(batches, 0):
             names = b.column(1).to_pylist()
             seen = {x: i for i, x in enumerate(dict.fromkeys(names))}
             of = np.array([seen[x] for x in names])
@@ -102,7 +103,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "d
 
     def run(batches):
         names, logs = held.value
-        for b in batches:
+        for b in frugal(batches, 1):
             total = np.zeros((b.num_rows, max(len(names), 1)))
             count = np.zeros(b.num_rows)
             for a, z, chars, owner in _letters(plain_text(b.column(1))):

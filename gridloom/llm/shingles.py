@@ -12,7 +12,7 @@ import pyarrow as pa
 
 SHINGLE_WORDS = 5
 #: Bytes that are hashed at a time.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -7,8 +7,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.batches import frugal
 from gridloom.llm.shared import table
-from gridloom.llm.tokenizing import encoder, plain_text, tokenizer_file
+from gridloom.llm.tokenizing import BATCH_BYTES, encoder, plain_text, tokenizer_file
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,7 +27,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, key: str = "doc_id
 
     def count(batches):
         enc = encoder(*held.value)
-        for b in batches:
+        for b in frugal(batches, 1, BATCH_BYTES):
             texts = plain_text(b.column(1))
             yield pa.record_batch([b.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(enc.run(texts, True), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -25,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.batches import frugal
 from gridloom.llm.shared import scratch, stored, table
-from gridloom.llm.tokenizing import encoder, plain_text, tokenizer_file
+from gridloom.llm.tokenizing import BATCH_BYTES, encoder, plain_text, tokenizer_file
 
 MAGIC = b"GLDAC001"
 BLOCK = 512
 #: Ids in a shard before the next one begins.
-SHARD_IDS = 8_000_000
+SHARD_IDS = 4_000_000
 
 
 def dac_bytes(doc_ids: list, lens: list[int], ids: np.ndarray) -> bytes:
@@ -150,7 +151,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             put_file(uri, dac_bytes(names, lens, np.concatenate(chunks)))
             return pa.record_batch([pa.array([part]), pa.array([shard]), pa.array([uri]), pa.array([len(names)]), pa.array([sum(lens)])], ["part", "shard", "uri", "n_docs", "n_ids"])
 
-        for b in batches:
+        for b in frugal(batches, 1, BATCH_BYTES):
             for i, got in enc.groups(plain_text(b.column(1)), False):
                 for d, ids in zip(b.column(0).slice(i, len(got)).to_pylist(), got):
                     names.append(d)

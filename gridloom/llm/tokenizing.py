@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _HAZARD = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "] "
 #: Bytes of text that are encoded at a time, and of a piece of a long text.
-BATCH_BYTES, PIECE_CHARS = 16 << 20, 1 << 20
+BATCH_BYTES, PIECE_CHARS = 12 << 20, 1 << 20
 #: Distinct units that a worker remembers before it starts afresh.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 600_000
 _CHUNK = 256
 _loaded: dict = {}
 
