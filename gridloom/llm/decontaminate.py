@@ -55,11 +55,11 @@ class Index:
 
     def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW):
         self.docs = docs
-        self.items = stored(item_words(items, window), "items")
+        self.items = stored(item_words(items, window), "items", parts=8)
         places = self.items.select("item_id", "n", "w", F.posexplode("words").alias("q", "term"))
-        terms = stored(places.select("term").distinct(), "terms")
+        terms = stored(places.select("term").distinct(), "terms", parts=8)
         counts = docs.select(F.explode("words").alias("term")).join(sized(terms), "term").groupBy("term").agg(F.count("*").alias("k"))
-        self.counts = stored(terms.join(counts, "term", "left").select("term", F.coalesce("k", F.lit(0)).alias("k")), "term-counts")
+        self.counts = stored(terms.join(counts, "term", "left").select("term", F.coalesce("k", F.lit(0)).alias("k")), "term-counts", parts=8)
         # each window's two rarest places, of different terms if it has any
         ranked = places.join(sized(self.counts), "term").groupBy("item_id", "n", "w").agg(F.array_sort(F.collect_list(F.struct("q", "k", "term"))).alias("p"))
         starts = F.sequence(F.lit(0), F.col("n") - F.col("w"))
@@ -70,10 +70,10 @@ class Index:
             other = F.get(F.filter(by, lambda x: x["term"] != F.get(by, 0)["term"]), 0)
             return F.struct(F.get(by, 0)["q"].alias("a"), F.coalesce(other["q"], F.get(by, 0)["q"]).alias("b"))
 
-        self.pairs = stored(ranked.select("item_id", F.array_distinct(F.transform(starts, pair)).alias("pairs")), "pairs")
+        self.pairs = stored(ranked.select("item_id", F.array_distinct(F.transform(starts, pair)).alias("pairs")), "pairs", parts=8)
         anchors = self.pairs.select("item_id", F.explode("pairs").alias("p")).select("item_id", F.explode(F.array("p.a", "p.b")).alias("q")).distinct()
-        self.anchors = stored(anchors.join(places.select("item_id", "q", "term"), ["item_id", "q"]).select("item_id", "q", "term"), "anchors")
-        self.rare = stored(self.anchors.select("term").distinct(), "rare-terms")
+        self.anchors = stored(anchors.join(places.select("item_id", "q", "term"), ["item_id", "q"]).select("item_id", "q", "term"), "anchors", parts=8)
+        self.rare = stored(self.anchors.select("term").distinct(), "rare-terms", parts=8)
         posted = docs.select("doc_id", F.posexplode("words").alias("pos", "term")).join(sized(self.rare), "term")
         self.postings = stored(posted.select("term", "doc_id", "pos"), "postings")
 

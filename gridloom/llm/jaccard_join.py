@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import components, dropped, sized, stored, table
+from gridloom.llm.batches import frugal
+from gridloom.llm.shared import compact, components, dropped, sized, stored, table
 from gridloom.llm.shingles import shingle_hashes
 from gridloom.llm.tokenizing import plain_text
 
@@ -66,7 +67,7 @@ def _scan(batches):
     """Rows (doc_id, n, key) of documents, and at the end slices of this task's counting table."""
     counts = np.zeros(1 << CELL_BITS, np.int64)
     none = pa.nulls
-    for b in batches:
+    for b in frugal(batches, 1):
         ns, keys = [], []
         for s in sets_of(plain_text(b.column(1))):
             np.add.at(counts, _cells(s), 1)
@@ -104,7 +105,7 @@ def _postings(held):
 
     def run(batches):
         hot, seen = held.value, set()
-        for b in batches:
+        for b in frugal(batches, 1):
             tokens, ids, ns = [], [], []
             for d, s in zip(b.column(0).to_pylist(), sets_of(plain_text(b.column(1)))):
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -148,7 +149,7 @@ def _shared(batches):
 
 def _packed_sets(held):
     def run(batches):
-        for b in batches:
+        for b in frugal(batches, 1):
             sets = [_ordered(s, held.value) for s in sets_of(plain_text(b.column(1)))]
             yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "grams"])
 
@@ -227,7 +228,7 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, probes: np.ndarray |
 def _grouped(batches):
     """Runs of rows (g1, g2, rep, label, probe, grams) with one (g1, g2)."""
     key, rows = None, []
-    for b in batches:
+    for b in frugal(batches, 5):
         cols = [c.to_pylist() for c in b.columns]
         for g1, g2, *row in zip(*cols):
             if (g1, g2) != key and rows:
@@ -349,29 +350,29 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # equal sets are one class; its representative is the smallest key
     named = each.where("doc_id is not null and n > 0")
     twins = named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("key", "rep")
-    classes = stored(named.join(twins, "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    classes = compact(named.join(twins, "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "classes")
 
     posted = rows.where("doc_id is not null").mapInArrow(_postings(held), "token long, doc_id long, n int")
     shared = stored(_dealt(posted, "token").mapInArrow(_shared, "token long, doc_id long, n int"), "shared")
     a = shared.join(sized(classes.where("doc_id <> rep")), "doc_id", "left").select("token", F.coalesce("rep", "doc_id").alias("rep"), F.col("n").cast("long").alias("n")).distinct()
-    a = stored(a, "postings")
+    a = compact(a, "postings")
     dropped(spark, shared)
     for _ in range(2):
         tokens = a.groupBy("token").agg((F.min("rep") != F.max("rep")).alias("ok")).where("ok").select("token")
         b = a.join(tokens, "token", "left_semi")
         enough = b.groupBy("rep").agg(F.count("*").alias("k"), F.max("n").alias("n")).where(F.expr("k >= greatest(1, ((4 * n + 4) div 5) div 10)")).select("rep")
-        b = stored(b.join(enough, "rep", "left_semi").select("token", "rep", "n"), "postings")
+        b = compact(b.join(enough, "rep", "left_semi").select("token", "rep", "n"), "postings")
         dropped(spark, a)
         a = b
 
     # sets of the documents that remain
-    reps = stored(a.select("rep").distinct(), "reps")
+    reps = compact(a.select("rep").distinct(), "reps")
     sets = stored(rows.join(sized(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_packed_sets(held), "rep long, n long, grams binary"), "grams")
 
     def linked(groups):
         """Links inside groups (g1, rep, label, probe)."""
         members = _dealt(groups.join(sets, "rep").select("g1", F.lit(0).alias("g2"), "rep", "label", "probe", "grams"), "g1")
-        return stored(members.mapInArrow(_link, "a long, b long"), "links")
+        return compact(members.mapInArrow(_link, "a long, b long"), "links")
 
     # groups by the first shared n-grams; a very large one is dealt out, and what that parts is listed below
     crowd = a.groupBy("token").agg(F.count("*").alias("k")).withColumn("class", F.floor(F.log(4.0, "k")))
@@ -380,20 +381,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / GROUP))
     picks = picks.select("rep", "token", F.when(F.col("k") <= GROUP, F.col("token")).otherwise(F.xxhash64("token", salt)).alias("g1"))
     per = picks.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("token", "g1"))).alias("p"))
-    per = stored(per.select("rep", F.get("p", 0)["g1"].alias("first"), F.transform("p", lambda x: x["g1"]).alias("picks")), "picks")
+    per = compact(per.select("rep", F.get("p", 0)["g1"].alias("first"), F.transform("p", lambda x: x["g1"]).alias("picks")), "picks")
     picks = per.select("rep", "first", F.explode("picks").alias("g1"))
     fresh = (F.count("*") > 1) & ((F.min("first") != F.max("first")) | (F.min("first") == F.col("g1")))
-    groups = stored(picks.groupBy("g1").agg(fresh.alias("fresh")).where("fresh").select("g1").join(picks, "g1").select("g1", "rep", F.col("rep").alias("label"), F.lit(True).alias("probe")), "groups")
+    groups = picks.groupBy("g1").agg(fresh.alias("fresh")).where("fresh").select("g1").join(picks, "g1").select("g1", "rep", F.col("rep").alias("label"), F.lit(True).alias("probe"))
     edges = linked(groups)
     labels = components(edges)
 
     # pairs of different components that have not met
     named_a = a.join(per, "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
     met = (F.min("label") == F.max("label")) | (F.min("first") == F.max("first"))
-    left = stored(named_a.select("token", "rep", "n", "label", "picks", "first"), "labelled")
+    left = compact(named_a.select("token", "rep", "n", "label", "picks", "first"), "labelled")
     open_tokens = left.groupBy("token").agg(met.alias("met")).where("not met").select("token")
     lists = _dealt(left.join(open_tokens, "token", "left_semi").drop("first"), "token").mapInArrow(_listed, "rep long, n long, others binary")
-    pairs = stored(_dealt(lists, "rep").mapInArrow(_counted, "g1 long, rep long, probe boolean"), "pairs")
+    pairs = compact(_dealt(lists, "rep").mapInArrow(_counted, "g1 long, rep long, probe boolean"), "pairs")
     if pairs.limit(1).count():
         more = linked(pairs.join(left.groupBy("rep").agg(F.first("label").alias("label")), "rep"))
         if more.limit(1).count():

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import dropped, stored, table
+from gridloom.llm.shared import compact, dropped, stored, table
 
 #: Most copies of a document; Newton steps; documents in a cell before it is split.
 CAP, STEPS, CELL = 3, 40, 1024
@@ -52,11 +52,11 @@ def balanced(cells: DataFrame, targets: DataFrame, cap: int = CAP, steps: int =
     """
     x = F.col("size") * F.col("source_docs") / F.col("source_size")  # size over the source's mean
     c = cells.join(targets, cells.source.eqNullSafe(targets.source)).select(cells.source, "size", "k", "source_size", "source_docs", "target")
-    c = stored(c.where("size > 0").withColumn("x", x), "mix-cells")
+    c = compact(c.where("size > 0").withColumn("x", x), "mix-cells")
     goal = F.col("target") * F.col("source_docs") / F.col("source_size")
     # at -60 rates vanish; above, x >= 1 in some cell, and ln(cap) / least x fills every cell
     state = stored(c.groupBy("source").agg(F.first(goal).alias("goal"), (F.log(F.lit(float(cap))) / F.min("x")).alias("hi"), F.sum(F.col("k") * F.col("x")).alias("mass"))
-                   .select("source", "goal", F.lit(0.0).alias("lam"), (-F.lit(60.0) * F.greatest(F.lit(1.0), F.col("hi"))).alias("lo"), F.greatest("hi", F.lit(0.0)).alias("hi"), F.lit(False).alias("done")), "mix-state")
+                   .select("source", "goal", F.lit(0.0).alias("lam"), (-F.lit(60.0) * F.greatest(F.lit(1.0), F.col("hi"))).alias("lo"), F.greatest("hi", F.lit(0.0)).alias("hi"), F.lit(False).alias("done")), "mix-state", parts=4)
     for _ in range(steps):
         s = state.alias("s")
         rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("x"), F.lit(50.0))))
@@ -71,7 +71,7 @@ def balanced(cells: DataFrame, targets: DataFrame, cap: int = CAP, steps: int =
         inside = (F.col("newton") > F.col("l")) & (F.col("newton") < F.col("h"))
         done = F.abs(F.col("got") - F.col("goal")) <= F.col("goal") * 1e-9
         step = step.select("source", "goal", F.when(done, F.col("lam")).when(inside, F.col("newton")).otherwise((F.col("l") + F.col("h")) / 2).alias("lam"), F.col("l").alias("lo"), F.col("h").alias("hi"), done.alias("done"))
-        after = stored(step, "mix-state")
+        after = stored(step, "mix-state", parts=4)
         dropped(c.sparkSession, state)
         state = after
         if state.where("not done").limit(1).count() == 0:
@@ -119,18 +119,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     order = F.xxhash64(F.col(key), F.col(text))
     sized_docs = stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), words.alias("size"), order.alias("h")), "mix-sizes")
-    cells = stored(sized_docs.groupBy("source", "size").agg(F.count("*").alias("k")), "mix-histogram")
-    targets = stored(source_targets(cells, share, weights, cap), "mix-targets")
-    rates = stored(balanced(cells, targets, cap), "mix-rates")
+    cells = compact(sized_docs.groupBy("source", "size").agg(F.count("*").alias("k")), "mix-histogram")
+    targets = stored(source_targets(cells, share, weights, cap), "mix-targets", parts=4)
+    rates = compact(balanced(cells, targets, cap), "mix-rates")
 
     # cells are split by the hash until one has about CELL documents
     cut = cells.join(rates.withColumnRenamed("source", "s").withColumnRenamed("size", "z"), cells.source.eqNullSafe(F.col("s")) & (cells["size"] == F.col("z")))
-    cut = stored(cut.select("source", "size", "source_size", "target", "rate", F.ceil(F.col("k") / CELL).alias("parts")), "mix-cut")
+    cut = compact(cut.select("source", "size", "source_size", "target", "rate", F.ceil(F.col("k") / CELL).alias("parts")), "mix-cut")
     d = sized_docs.alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")))
     part = F.pmod(F.col("d.h"), F.col("parts"))
-    d = stored(d.select("d.doc_id", "d.source", "d.size", "d.h", "source_size", "target", "rate", part.alias("part")), "mix-docs")
+    d = compact(d.select("d.doc_id", "d.source", "d.size", "d.h", "source_size", "target", "rate", part.alias("part")), "mix-docs")
     small = d.groupBy("source", "size", "part").agg(F.count("*").alias("k"), F.first("rate").alias("rate"))
-    small = stored(rounded(small, cap), "mix-parts")
+    small = compact(rounded(small, cap), "mix-parts")
     d = d.join(small, d.source.eqNullSafe(F.col("s")) & (d["size"] == F.col("z")) & (d.part == F.col("p")))
     rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "doc_id"))
     d = d.withColumn("copies", F.col("whole") + F.when(rank <= F.col("more"), 1).otherwise(0).cast("long"))

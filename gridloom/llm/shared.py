@@ -33,9 +33,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/gridloom/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here and survives executors."""
+def stored(df: DataFrame, label: str, codec: str = "zstd", parts: int = 0) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here and survives executors.
+
+    ``parts`` bounds the files of tables that are small by nature (rows for sources, benchmark items).
+    """
     path = scratch(df.sparkSession, label)
+    df = df.coalesce(parts) if parts else df
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -50,6 +54,19 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a file of a table that may be small.
+FILE_ROWS = 200_000
+
+
+def compact(df: DataFrame, label: str) -> DataFrame:
+    """``stored`` in as few files as its rows need: computed in parallel and cached, counted, then written."""
+    df = df.persist()
+    parts = -(-df.count() // FILE_ROWS)
+    out = stored(df, label, parts=max(1, parts))
+    df.unpersist()
+    return out
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` (cheap to count: a written table) has at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows
@@ -64,16 +81,15 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 64
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node.
 
     Rounds in which every node's grandparent label is offered to its neighbours and to their
-    parents (so whole trees are hooked at once), each written to the shared folder; the number
-    of rounds grows with the logarithm of the longest path. Nothing is gathered at the driver
-    but whether something changed. Null ends are ignored, loops and repeated edges are harmless,
+    parents (so whole trees are hooked at once); the number of rounds grows with the logarithm of
+    the longest path. Each round is written to the shared folder. Nothing is gathered at the
+    driver but whether something changed. Null ends are ignored, loops and repeated edges are harmless,
     and an empty table gives an empty result.
     """
-    spark = edges.sparkSession
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label)
+    both = compact(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label)
     least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-    state = stored(least.select("node", F.least("node", "m").alias("component")), label)
+    state = compact(least.select("node", F.least("node", "m").alias("component")), label)
     for _ in range(max_rounds):
         up = state.select(F.col("node").alias("component"), F.col("component").alias("g"))
         grand = state.join(up, "component").select("node", "component", "g")
@@ -82,14 +98,13 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 64
         heard = offers.select(F.explode(F.array("a", "component")).alias("node"), "g").unionByName(grand.select("node", "g"))
         heard = heard.groupBy("node").agg(F.min("g").alias("g"))
         nxt = state.join(heard, "node").select("node", F.least("component", "g").alias("component"), (F.col("g") < F.col("component")).alias("moved"))
-        nxt = stored(nxt, label)
-        moved = nxt.where("moved").limit(1).count()
-        dropped(spark, state)
+        nxt = compact(nxt, label)
+        dropped(edges.sparkSession, state)
         state = nxt.select("node", "component")
         state.scratch_path = nxt.scratch_path
-        if not moved:
+        if not nxt.where("moved").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
-    dropped(spark, both)
+    dropped(edges.sparkSession, both)
     return state
