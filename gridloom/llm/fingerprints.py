@@ -3,7 +3,9 @@
 As membership of a hash in a sketch doesn't depend on the document, the sketch of a union is the
 union of sketches, and the share of one sketch inside another estimates containment however
 unequal the documents are. A fingerprint is ``count:codes``: the number of distinct shingles,
-and the kept hashes (48 bits each, ascending) in base64.
+and the kept hashes (48 bits each, ascending) in base64. A small set keeps all its hashes, so
+short texts are told apart and compared exactly; a larger one ends with a digest of all its hashes,
+in the upper half of the range, where none is kept. Functions of two fingerprints take the scale that both were made with.
 """
 
 from __future__ import annotations
@@ -23,14 +25,30 @@ from gridloom.llm.tokenizing import plain_text
 
 #: One in so many hashes is kept.
 SCALE = 4
+#: Sets of up to so many times the scale are kept whole, so what is estimated rests on about as many kept hashes or more.
+WHOLE = 16
+_CODES, _UPPER = 1 << 48, 1 << 47
 _LEAST = -(1 << 63)
 
 
+def _kept(codes: np.ndarray, scale: int) -> np.ndarray:
+    return codes[: np.searchsorted(codes, np.uint64(_CODES // scale))]
+
+
+def _digest(data: bytes) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big") % _UPPER + _UPPER], np.uint64)
+
+
+def _reduced(codes: np.ndarray, scale: int) -> tuple[int, np.ndarray]:
+    kept = _kept(codes, scale)
+    if len(codes) <= max(WHOLE * scale, len(kept) + 1):
+        return len(codes), codes
+    return len(codes), np.concatenate([kept, _digest(codes.astype(">u8").tobytes())])
+
+
 def sketch(hashes: np.ndarray, scale: int = SCALE) -> tuple[int, np.ndarray]:
-    """Number of distinct shingles, and the sorted distinct 48-bit codes of those below the threshold."""
-    distinct = np.unique(hashes)
-    kept = distinct[: np.searchsorted(distinct, np.uint64((1 << 64) // scale - 1), "right")]
-    return len(distinct), np.unique(kept >> np.uint64(16))
+    """Number of distinct shingles, and their sorted distinct 48-bit codes: of a small set all, else those below the threshold and the digest."""
+    return _reduced(np.unique(hashes >> np.uint64(16)), scale)
 
 
 def encoded(count: int, codes: np.ndarray) -> str:
@@ -48,32 +66,54 @@ def decoded(fingerprint: str) -> tuple[int, np.ndarray]:
     return int(count), wide.reshape(-1).view(">u8").astype(np.uint64)
 
 
-def merged(a: str, b: str) -> str:
-    """A fingerprint for the union of two documents' shingles; its count is estimated."""
-    (n, x), (m, y) = decoded(a), decoded(b)
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    return len(x) == len(y) and bool((x == y).all())
+
+
+def _comparable(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], scale: int) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether both sets are whole, and their codes; else the codes below the threshold."""
+    whole = all(n == len(codes) for n, codes in (a, b))
+    return (True, a[1], b[1]) if whole else (False, _kept(a[1], scale), _kept(b[1], scale))
+
+
+def merged(a: str, b: str, scale: int = SCALE) -> str:
+    """A fingerprint for the union of two documents' shingles.
+
+    That of the union itself where both sets are whole or equal; else its count is estimated and its digest is of the
+    two fingerprints, so it equals no text's.
+    """
+    (n, p), (m, q) = decoded(a), decoded(b)
+    whole, x, y = _comparable((n, p), (m, q), scale)
     both = np.union1d(x, y)
+    if whole:
+        return encoded(*_reduced(both, scale))
+    if a == b:
+        return a
     shared = len(x) + len(y) - len(both)
     count = n + m - (round(n * shared / len(x)) if len(x) else 0)
-    return encoded(max(count, n, m), both)
+    return encoded(max(count, n, m, len(both) + 2), np.concatenate([both, _digest(" ".join(sorted((a, b))).encode())]))
 
 
-def containment(a: str, b: str) -> float:
-    """Estimated share of a's shingles that b has; 0 if a's sketch is empty."""
-    x, y = decoded(a)[1], decoded(b)[1]
+def containment(a: str, b: str, scale: int = SCALE) -> float:
+    """Share of a's shingles that b has, estimated unless both sets are whole; 0 if none of a's can be compared."""
+    _, x, y = _comparable(decoded(a), decoded(b), scale)
     return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0
 
 
-def _likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    if a[0] == b[0] and len(a[1]) == len(b[1]) and (a[1] == b[1]).all():
+def _likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], scale: int = SCALE) -> float:
+    n, m = sorted((a[0], b[0]))
+    if n == m and _alike(a[1], b[1]):
         return 1.0
-    shared = len(np.intersect1d(a[1], b[1], assume_unique=True))
-    union = len(a[1]) + len(b[1]) - shared
-    return shared / union if union else 0.0
+    whole, x, y = _comparable(a, b, scale)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - shared
+    # sets that differ are no more alike than their sizes allow
+    return min(shared / union if union else 0.0, 1.0 if whole else n / m if n < m else (n - 1) / (n + 1))
 
 
-def likeness(a: str, b: str) -> float:
-    """Estimated Jaccard similarity; 1 for equal fingerprints."""
-    return _likeness(decoded(a), decoded(b))
+def likeness(a: str, b: str, scale: int = SCALE) -> float:
+    """Jaccard similarity, exact if both sets are whole, else estimated; 1 for equal fingerprints only, which equal sets have."""
+    return _likeness(decoded(a), decoded(b), scale)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", scale: int = SCALE) -> DataFrame:
@@ -134,7 +174,7 @@ def fingerprints_beside_next(docs: DataFrame, key: str = "doc_id", text: str = "
             yield pa.record_batch([
                 pa.array([x[2] for x, _ in pairs], pa.int64()), pa.array([len(x[3]) for x, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array([encoded(*x[4]) for x, _ in pairs]), pa.array([encoded(*e) for e in sketches]),
-                pa.array([_likeness(x[4], e) for (x, _), e in zip(pairs, sketches)], pa.float64()), pa.array([_likeness(x[4], y[4]) for x, y in pairs], pa.float64()),
+                pa.array([_likeness(x[4], e, scale) for (x, _), e in zip(pairs, sketches)], pa.float64()), pa.array([_likeness(x[4], y[4], scale) for x, y in pairs], pa.float64()),
             ], names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
