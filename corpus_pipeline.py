@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.decontaminate import contamination
 from gridloom.llm.jaccard_join import jaccard_components
-from gridloom.llm.language_id import held_out, identify, train
+from gridloom.llm.language_id import held_out, identified, train
 from gridloom.llm.mixing import mix
 from gridloom.llm.shared import sized, stored, table
 from gridloom.llm.token_output import token_file_rows
@@ -21,35 +21,54 @@ from gridloom.llm.token_output import token_file_rows
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` whose doc_id is not in ``gone``; rows of one doc_id share their fate."""
-    return docs.join(sized(stored(gone.select("doc_id").distinct(), "gone")), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, ``row``: doc_id, or where one is null or repeated a number made here.
+
+    These numbers are in the order of doc_id (nulls last) and, within one, of a hash of the text.
+    """
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        return docs.withColumn("row", F.col("doc_id"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
+    dealt = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text", "lang", "source", "n_chars")
+    return stored(dealt.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """What ``rows`` has beside ``gone``, by the key of the row."""
+    return rows.join(sized(stored(gone.select("row"), "gone")), "row", "left_anti").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: ``und`` (null text, or no letter) goes, and so does what has no doc_id."""
-    got = identify(docs, train(docs.where(~held_out())))
-    return _without(docs.where("doc_id is not null"), got.where("lang_pred = 'und'"))
+    """Documents with a language: ``und`` (null text, or no letter) goes, and so does what has no doc_id.
+
+    Each row is decided by its own text. Without any labelled row to learn from, all texts with a letter stay.
+    """
+    model = train(docs.where(~held_out()))
+    got = identified(docs.where("doc_id is not null").select(*COLUMNS), model)
+    return got.where(F.col("lettered") & (F.lit(not model[0]) | (F.col("lang_pred") != "und"))).select(*COLUMNS)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id, and of rows that repeat it one."""
-    kept = _without(docs, jaccard_components(docs).where("doc_id <> component_id"))
-    repeated = stored(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    once = kept.join(sized(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d"))
-    return kept.join(sized(repeated), "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select("doc_id", "d.*"))
+    """One row of each group of near-duplicates: that of the smallest doc_id, and of rows that share it the first by a hash of the text.
+
+    Rows that share a doc_id are documents of their own, and stay if their texts are no near-duplicates.
+    """
+    rows = _keyed(docs)
+    return _without(rows, jaccard_components(rows, key="row").where("row <> component_id"))
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = _keyed(docs)
+    return _without(rows, contamination(rows, table(spark, sf_dir, "benchmark"), key="row").where("contaminated"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those of size 0 once."""
-    copies = mix(docs).select("doc_id", F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias("copies"))
+    rows = _keyed(docs)
+    copies = mix(rows, key="row", by="doc_id").select("row", F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias("copies"))
     wanted = sized(stored(copies.where("copies > 0"), "copies"))
-    return docs.join(wanted, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
+    return rows.join(wanted, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

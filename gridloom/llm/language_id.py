@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.llm.batches import frugal
 from gridloom.llm.shared import table
@@ -92,6 +93,24 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     return [r["lang"] for r in found], np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
+def _scored(texts: pa.Array, names: list[str], logs: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """For each text its language, its score, and whether it has a letter; logs: buckets x languages."""
+    total = np.zeros((len(texts), max(len(names), 1)))
+    count = np.zeros(len(texts))
+    for a, z, chars, owner in _letters(plain_text(texts)):
+        for bucket, doc in _grams(chars, owner):
+            count[a:z] += np.bincount(doc - a, minlength=z - a)
+            for i in range(len(names)):
+                total[a:z, i] += np.bincount(doc - a, weights=logs[bucket, i], minlength=z - a)
+    mean = total / np.maximum(count, 1)[:, None] * np.minimum(count, EVIDENCE)[:, None]
+    post = np.exp(mean - mean.max(1, keepdims=True))
+    post /= post.sum(1, keepdims=True)
+    best = post.argmax(1)
+    some = (count > 0) & bool(names)
+    pred = [names[i] if s else "und" for i, s in zip(best, some)]
+    return pa.array(pred, pa.string()), pa.array(np.where(some, post[np.arange(len(best)), best], 0.0)), pa.array(count > 0)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (``key``, lang_pred, score), one for each row of ``docs``.
 
@@ -104,25 +123,31 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "d
     def run(batches):
         names, logs = held.value
         for b in frugal(batches, 1):
-            total = np.zeros((b.num_rows, max(len(names), 1)))
-            count = np.zeros(b.num_rows)
-            for a, z, chars, owner in _letters(plain_text(b.column(1))):
-                for bucket, doc in _grams(chars, owner):
-                    count[a:z] += np.bincount(doc - a, minlength=z - a)
-                    for i in range(len(names)):
-                        total[a:z, i] += np.bincount(doc - a, weights=logs[bucket, i], minlength=z - a)
-            mean = total / np.maximum(count, 1)[:, None] * np.minimum(count, EVIDENCE)[:, None]
-            post = np.exp(mean - mean.max(1, keepdims=True))
-            post /= post.sum(1, keepdims=True)
-            best = post.argmax(1)
-            some = (count > 0) & bool(names)
-            pred = [names[i] if s else "und" for i, s in zip(best, some)]
-            yield pa.record_batch([b.column(0), pa.array(pred, pa.string()), pa.array(np.where(some, post[np.arange(len(best)), best], 0.0))], ["doc_id", "lang_pred", "score"])
+            pred, score, _ = _scored(b.column(1), names, logs)
+            yield pa.record_batch([b.column(0), pred, score], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double").withColumnRenamed("doc_id", key)
 
 
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score as ``identify`` gives them, and lettered: whether the text has a letter.
+
+    All columns are carried, so rows need no key; none may have one of the new names.
+    """
+    names, logs = model
+    held = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(logs.T)))
+    at = docs.columns.index(text)
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred string, score double, lettered boolean").fields])
+
+    def run(batches):
+        names, logs = held.value
+        for b in frugal(batches, at):
+            yield pa.record_batch([*b.columns, *_scored(b.column(at), names, logs)], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(key: str = "doc_id"):
     """Whether a row is kept out of training: crc32 of its key as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))

@@ -108,16 +108,16 @@ def rounded(parts: DataFrame, cap: int = CAP) -> DataFrame:
     return p.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), "whole", "more")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.0, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.0, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, by: str | None = None) -> DataFrame:
     """Rows (``key``, size, source_size, target, copies, taken), one for each row of ``docs``.
 
     size is the number of words ``[^\\x20\\x09-\\x0D]+``; null texts have 0. A null source is a source of
     its own. Documents of size 0 are taken once. Copies are at most ``cap``; rows of one key are
-    rounded like any others, by a hash of key and text, and identical rows by an arbitrary but
+    rounded like any others, by a hash of ``by`` (the key, unless given) and text, and identical rows by an arbitrary but
     equal number. Reruns agree. Other columns are not carried; an empty table gives an empty result.
     """
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    order = F.xxhash64(F.col(key), F.col(text))
+    order = F.xxhash64(F.col(by or key), F.col(text))
     sized_docs = stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), words.alias("size"), order.alias("h")), "mix-sizes")
     cells = compact(sized_docs.groupBy("source", "size").agg(F.count("*").alias("k")), "mix-histogram")
     targets = stored(source_targets(cells, share, weights, cap), "mix-targets", parts=4)

@@ -66,3 +66,30 @@ def test_run_gives_the_last_stages_rows(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = p.run(spark, str(tmp_path))
     assert out.count() == 0 and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_of_one_doc_id_are_decided_alone(spark, tmp_path):
+    rng = random.Random(8)
+    one, two, three = (prose(rng, "xx", 40) for _ in range(3))
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def after(stage, *pairs):
+        rows = [(d, t, "xx", "src", len(t or "")) for d, t in pairs]
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        df.write.parquet(path := f"{tmp_path}/{stage.__name__}-{len(pairs)}")
+        return sorted((r.doc_id, r.text) for r in stage(spark, spark.read.parquet(path), str(tmp_path)).collect())
+
+    assert after(p.language_stage, (1, one), (1, None), (1, "12 !"), (2, two)) == sorted([(1, one), (2, two)])
+    assert after(p.duplicates_stage, (1, one), (1, two), (2, two), (3, three), (3, three)) == sorted([(1, one), (1, two), (3, three)])
+    assert after(p.duplicates_stage, (9, one), (9, two), (4, two + " tail")) == sorted([(9, one), (4, two + " tail")])
+    assert after(p.contamination_stage, (1, one), (1, f"{two} {ITEM}"), (2, three)) == sorted([(1, one), (2, three)])
+    mixed = after(p.mixing_stage, *[(k // 2, f"w{k} " * 20) for k in range(40)])
+    assert len(mixed) == 40 and {d for d, _ in mixed} <= set(range(20))
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    df = spark.createDataFrame([(1, "kato rimu", None, "s", 9), (2, None, None, "s", 0), (3, "12 !", None, "s", 4), (4, "berung", None, "s", 6)], SCHEMA)
+    assert sorted(r.doc_id for r in p.language_stage(spark, df, "").collect()) == [1, 4]
