@@ -9,7 +9,7 @@ document's words, and the runs of equal words that cover a window are its hits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.shared import sized, stored, table
@@ -49,7 +49,8 @@ class Index:
     """The index of a corpus for a set of items.
 
     ``items``: item_words; ``pairs``: item_id, pairs (array of the places of the two rarest terms of
-    its windows); ``postings``: term, doc_id, pos, stored. The vocabulary is broadcast only
+    its windows); ``postings``: term, doc_id, pos, stored, of these two terms only, so no other items
+    can be looked up in it. The vocabulary is broadcast only
     where its counted size allows it.
     """
 
@@ -101,15 +102,26 @@ class Index:
         return j.select("doc_id", "item_id", hits.alias("hits"))
 
     def near(self, slop: int) -> DataFrame:
-        """(doc_id, item_id) where all terms of a window lie, in any order, within ``slop`` words more than its length."""
+        """(doc_id, item_id) where all words of a window, each as often as it has it, lie in any order within ``slop`` words more than its length.
+
+        The postings of a window's two rarest terms are intersected; the other terms are looked up in the documents that this leaves.
+        """
         starts = F.sequence(F.lit(0), F.col("n") - F.col("w"))
         windows = self.items.select("item_id", "w", F.posexplode(F.transform(starts, lambda s: F.slice("words", s + 1, F.col("w")))).alias("s", "terms"))
-        term = windows.select("item_id", "s", "w", F.array_distinct("terms").alias("terms"), F.explode(F.array_distinct("terms")).alias("term")).join(sized(self.counts), "term")
-        best = term.withColumn("r", F.row_number().over(Window.partitionBy("item_id", "s").orderBy("k", "term"))).where("r = 1").select("item_id", "s", "w", "terms", "term")
-        cand = self.docs.select("doc_id", "words", F.posexplode("words").alias("pos", "term")).join(sized(best), "term")
+        term = windows.select("item_id", "s", "w", F.explode("terms").alias("term")).groupBy("item_id", "s", "w", "term").agg(F.count("*").alias("need"))
+        ranked = term.join(sized(self.counts), "term").groupBy("item_id", "s", "w").agg(F.array_sort(F.collect_list(F.struct("k", "term", "need"))).alias("p"))
+        first = F.get("p", 0)["term"]
+        ranked = stored(ranked.select("item_id", "s", "w", "p", first.alias("a"), F.coalesce(F.get("p", 1)["term"], first).alias("b")), "windows", parts=8)
         span = F.col("w") + slop
-        inside = F.exists(F.sequence(F.greatest(F.lit(0), F.col("pos") - span + 1), F.col("pos")), lambda s: F.size(F.array_except("terms", F.slice("words", s + 1, span))) == 0)
-        return cand.where(inside).select("doc_id", "item_id").distinct()
+        lists = self.postings.groupBy("term", "doc_id").agg(F.collect_list("pos").alias("at"))
+        on = lists.select(F.col("term").alias("a"), "doc_id", F.col("at").alias("x")).join(sized(ranked), "a")
+        on = on.join(lists.select(F.col("term").alias("b"), "doc_id", F.col("at").alias("y")), ["b", "doc_id"])
+        met = F.exists("x", lambda i: F.exists("y", lambda j: F.abs(i - j) < span))
+        found = stored(on.where(met).select("doc_id", "item_id", "w", "p"), "near")
+        mine = self.docs.join(sized(found.select("doc_id").distinct()), "doc_id", "left_semi").join(found, "doc_id")
+        enough = lambda i: F.forall("p", lambda t: F.size(F.filter(F.slice("words", i + 1, span), lambda x: x == t["term"])) >= t["need"])
+        begins = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.exists("p", lambda t: t["term"] == F.get("words", i)))
+        return mine.where(F.exists(begins, enough)).select("doc_id", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

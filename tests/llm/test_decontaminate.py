@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from gridloom.llm.decontaminate import Index, contamination, split_words
 from gridloom.llm.registry import oracle_sql
@@ -53,3 +54,22 @@ def test_proximity(spark):
 
 def test_sql_is_registered():
     assert {"op1_chat_format", "op4_jaccard_join", "op6_decontamination", "op10_warc"} <= set(oracle_sql())
+
+
+def test_proximity_counts_repeated_words(spark):
+    rng = random.Random(7)
+    items = [(1, "alpha alpha beta gamma delta epsilon zeta eta theta iota"), (2, "same same same"), (3, "solo"), (4, " ".join(words(rng, 14, 8)))]
+    docs = [(1, items[0][1]), (2, items[0][1].replace("alpha alpha", "alpha x")), (3, "same x same"), (4, "same x same same"), (5, "alpha alpha beta gamma delta"), (5, "epsilon zeta eta theta iota"), (6, "")]
+    docs += [(10 + k, " ".join(words(rng, rng.randint(8, 30), 8))) for k in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).select("doc_id", split_words("text").alias("words"))
+    index = Index(d, spark.createDataFrame(items, "item_id long, text string"))
+    for slop in (0, 3):
+        want = set()
+        for i, item in items:
+            v = item.split()
+            w = min(len(v), 10)
+            for need in [Counter(v[s : s + w]) for s in range(len(v) - w + 1)]:
+                want |= {(k, i) for k, t in docs for s in range(len(t.split())) if not need - Counter(t.split()[s : s + w + slop])}
+        got = {tuple(r) for r in index.near(slop).collect()}
+        assert got == want and (1, 1) in got and (4, 2) in index.near(3).collect() and not {(2, 1), (3, 2), (5, 1)} & got
+        assert any(i == 4 for _, i in got) or slop == 0
