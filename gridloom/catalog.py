@@ -18,6 +18,8 @@ from gridloom.plans.workflow import Workflow
 from gridloom.raster import Raster
 
 CELL = 30.0
+#: Event types that the registered SQL has room for.
+TYPES = 5
 BREAKS, CLASSES = [50_000.0, 100_000.0, 250_000.0, 400_000.0], [1.0, 2.0, 3.0, 4.0, 5.0]
 XS, YS = [0.0, 50_000.0, 100_000.0, 200_000.0, 300_000.0, 400_000.0], [1.0, 1.1, 1.3, 1.9, 3.0, 4.5]
 W3 = [[1, 2, 1], [0, 4, -2], [0.5, 1, 3]]
@@ -45,14 +47,25 @@ def weight(spark, sf_dir) -> Raster:
 
 
 def stack(spark, sf_dir) -> NdArray:
-    """[day, hour, type] of the events' largest values; absent combinations are invalid."""
+    """[day, hour, type] of the events' largest values; absent combinations are invalid, and there is room for TYPES types at least."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    kinds = e.select("event_type").distinct()
+    kinds = e.select("event_type").where("event_type is not null").distinct()
+    shape = (31, 24, max(TYPES, kinds.count()))
     kinds = kinds.select("event_type", (F.expr("row_number() over (order by event_type)") - 1).cast("int").alias("i2"))
     top = e.join(F.broadcast(kinds), "event_type").groupBy(F.dayofmonth("ts").alias("d"), F.hour("ts").alias("i1"), "i2").agg(F.max("value").cast("float").alias("v"))
     own = top.select((F.col("d") - 1).alias("i0"), "i1", "i2", "v")
-    every = NdArray.filled(spark, (31, 24, 5), valid=False).df.drop("v")
-    return NdArray(every.join(own, ["i0", "i1", "i2"], "left"), (31, 24, 5))
+    every = NdArray.filled(spark, shape, valid=False).df.drop("v")
+    return NdArray(every.join(own, ["i0", "i1", "i2"], "left"), shape)
+
+
+def _reshaped(spark, sf_dir) -> NdArray:
+    a = stack(spark, sf_dir)
+    return a.reshape(62, 12 * a.shape[2])
+
+
+def _broadcast(spark, sf_dir) -> NdArray:
+    a = stack(spark, sf_dir)
+    return a.select(0, 3).broadcast_to(2, *a.shape[1:])
 
 
 def out(r: Raster) -> DataFrame:
@@ -310,9 +323,9 @@ _ENTRIES = {
     "arr_window": (lambda s, d: out_array(stack(s, d).window((1, 6, 0), (3, 12, 2))), f"WITH {STACK} SELECT CAST(i0 - 1 AS INT) AS i0, CAST(i1 - 6 AS INT) AS i1, i2, CAST(v AS DOUBLE) AS v FROM s WHERE i0 BETWEEN 1 AND 3 AND i1 BETWEEN 6 AND 17 AND i2 < 2"),
     "arr_select": (lambda s, d: out_array(stack(s, d).select(2, 1)), f"WITH {STACK} SELECT i0, i1, CAST(v AS DOUBLE) AS v FROM s WHERE i2 = 1"),
     "arr_transpose": (lambda s, d: out_array(stack(s, d).transpose(2, 0, 1)), f"WITH {STACK} SELECT i2 AS i0, i0 AS i1, i1 AS i2, CAST(v AS DOUBLE) AS v FROM s"),
-    "arr_reshape": (lambda s, d: out_array(stack(s, d).reshape(62, 60)), f"WITH {STACK} SELECT CAST((i0 * 120 + i1 * 5 + i2) // 60 AS INT) AS i0, CAST((i0 * 120 + i1 * 5 + i2) % 60 AS INT) AS i1, CAST(v AS DOUBLE) AS v FROM s"),
+    "arr_reshape": (lambda s, d: out_array(_reshaped(s, d)), f"WITH {STACK} SELECT CAST((i0 * 120 + i1 * 5 + i2) // 60 AS INT) AS i0, CAST((i0 * 120 + i1 * 5 + i2) % 60 AS INT) AS i1, CAST(v AS DOUBLE) AS v FROM s"),
     "arr_expand_dims": (lambda s, d: out_array(stack(s, d).select(2, 0).expand_dims(1)), f"WITH {STACK} SELECT i0, CAST(0 AS INT) AS i1, i1 AS i2, CAST(v AS DOUBLE) AS v FROM s WHERE i2 = 0"),
-    "arr_broadcast_to": (lambda s, d: out_array(stack(s, d).select(0, 3).broadcast_to(2, 24, 5)), f"WITH {STACK} SELECT CAST(t.i AS INT) AS i0, i1, i2, CAST(v AS DOUBLE) AS v FROM s, range(2) t(i) WHERE i0 = 3"),
+    "arr_broadcast_to": (lambda s, d: out_array(_broadcast(s, d)), f"WITH {STACK} SELECT CAST(t.i AS INT) AS i0, i1, i2, CAST(v AS DOUBLE) AS v FROM s, range(2) t(i) WHERE i0 = 3"),
     "arr_broadcast_add": (lambda s, d: out_array(stack(s, d).add(stack(s, d).select(0, 0))), f"WITH {STACK} SELECT a.i0, a.i1, a.i2, CAST(a.v + b.v AS DOUBLE) AS v FROM s a JOIN s b ON a.i1 = b.i1 AND a.i2 = b.i2 AND b.i0 = 0"),
     "arr_broadcast_mul": (lambda s, d: out_array(labels16(s, d).mul(offsets16(s))), f"WITH {LABELS}, {OFFSETS} SELECT i0, i1, CAST({_wrap16('v * w')} AS DOUBLE) AS v FROM l JOIN o USING (i1)"),
     "arr_sub": (lambda s, d: out_array(labels16(s, d).sub(offsets16(s))), f"WITH {LABELS}, {OFFSETS} SELECT i0, i1, CAST({_wrap16('v - w')} AS DOUBLE) AS v FROM l JOIN o USING (i1)"),
