@@ -35,26 +35,48 @@ BLOCK = 512
 SHARD_IDS = 4_000_000
 
 
+class DacWriter:
+    """A shard as it grows: ids go to their levels at once, so two bytes are held for each code and nothing else of an id."""
+
+    def __init__(self):
+        self.keys, self.lens, self.n = [], [], 0
+        self.codes, self.more = [bytearray()], [bytearray()]
+
+    def add(self, doc_ids: list, lens: list[int], ids: np.ndarray) -> None:
+        """Documents whose ids follow one another."""
+        self.keys += doc_ids
+        self.lens += lens
+        self.n += len(ids)
+        cur, level = ids, 0
+        while len(cur):
+            if level == len(self.codes):
+                self.codes.append(bytearray())
+                self.more.append(bytearray())
+            more = cur > 255
+            self.codes[level] += cur.astype("u1").data
+            self.more[level] += more.data
+            cur, level = cur[more] >> 8, level + 1
+
+    def sections(self):
+        """The file's parts in order, the header first."""
+        starts = np.zeros(len(self.lens) + 1, "<u8")
+        np.cumsum(self.lens, out=starts[1:])
+        out = [np.array([0 if d is None else d for d in self.keys], "<i8").tobytes(), np.array([d is not None for d in self.keys], "u1").tobytes(), starts.tobytes()]
+        for codes, more in zip(self.codes, self.more):
+            padded = np.zeros(-(-max(len(more), 1) // BLOCK) * BLOCK, bool)
+            padded[: len(more)] = np.frombuffer(more, bool)
+            per_block = padded.reshape(-1, BLOCK).sum(1)
+            out += [codes, np.packbits(padded, bitorder="little").tobytes(), (np.cumsum(per_block) - per_block).astype("<u8").tobytes()]
+        head = len(MAGIC) + 8 * (4 + len(out) + 1)
+        offsets = head + np.cumsum([0, *map(len, out)])
+        return [MAGIC + struct.pack(f"<{4 + len(offsets)}Q", len(self.lens), self.n, len(self.codes), BLOCK, *offsets.tolist()), *out]
+
+
 def dac_bytes(doc_ids: list, lens: list[int], ids: np.ndarray) -> bytes:
     """The file's content for documents whose ids follow one another."""
-    starts = np.zeros(len(lens) + 1, "<u8")
-    np.cumsum(lens, out=starts[1:])
-    sections = [
-        np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
-        np.array([d is not None for d in doc_ids], "u1").tobytes(),
-        starts.tobytes(),
-    ]
-    cur, levels = ids.astype(np.uint32), 0
-    while levels == 0 or len(cur):
-        more = cur > 255
-        padded = np.zeros(-(-max(len(cur), 1) // BLOCK) * BLOCK, bool)
-        padded[: len(cur)] = more
-        per_block = padded.reshape(-1, BLOCK).sum(1)
-        sections += [cur.astype("u1").tobytes(), np.packbits(padded, bitorder="little").tobytes(), (np.cumsum(per_block) - per_block).astype("<u8").tobytes()]
-        cur, levels = cur[more] >> 8, levels + 1
-    head = len(MAGIC) + 8 * (4 + len(sections) + 1)
-    offsets = head + np.cumsum([0, *map(len, sections)])
-    return MAGIC + struct.pack(f"<{4 + len(offsets)}Q", len(lens), len(ids), levels, BLOCK, *offsets.tolist()) + b"".join(sections)
+    w = DacWriter()
+    w.add(doc_ids, lens, ids.astype(np.uint32))
+    return b"".join(w.sections())
 
 
 class DacReader:
@@ -118,12 +140,13 @@ def opened(uri: str) -> DacReader:
     return DacReader(read)
 
 
-def put_file(uri: str, content: bytes) -> None:
-    """Write a whole file under its final name only; a repeated task replaces it by the same bytes."""
+def put_file(uri: str, parts: list) -> None:
+    """Write a whole file, of parts, under its final name only; a repeated task replaces it by the same bytes."""
     store, path = pafs.FileSystem.from_uri(uri)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
     with store.open_output_stream(part) as f:
-        f.write(content)
+        for x in parts:
+            f.write(x)
     store.move(part, path)
 
 
@@ -142,25 +165,21 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def write(batches):
-        enc, part, shard = encoder(*held.value), TaskContext.get().partitionId(), 0
-        names, chunks, n = [], [], 0
+        enc, part, shard, out = encoder(*held.value), TaskContext.get().partitionId(), 0, DacWriter()
+        end = np.array([end_id], np.uint32)
 
         def flush():
             uri = f"{folder}/part-{part:06d}-{shard:05d}.dac"
-            lens = [len(x) for x in chunks]
-            put_file(uri, dac_bytes(names, lens, np.concatenate(chunks)))
-            return pa.record_batch([pa.array([part]), pa.array([shard]), pa.array([uri]), pa.array([len(names)]), pa.array([sum(lens)])], ["part", "shard", "uri", "n_docs", "n_ids"])
+            put_file(uri, out.sections())
+            return pa.record_batch([pa.array([part]), pa.array([shard]), pa.array([uri]), pa.array([len(out.keys)]), pa.array([out.n])], ["part", "shard", "uri", "n_docs", "n_ids"])
 
         for b in frugal(batches, 1, BATCH_BYTES):
             for i, got in enc.groups(plain_text(b.column(1)), False):
-                for d, ids in zip(b.column(0).slice(i, len(got)).to_pylist(), got):
-                    names.append(d)
-                    chunks.append(np.append(ids, np.uint32(end_id)))
-                    n += len(ids) + 1
-                if n >= SHARD_IDS:
+                out.add(b.column(0).slice(i, len(got)).to_pylist(), [len(x) + 1 for x in got], np.concatenate([x for ids in got for x in (ids, end)]))
+                if out.n >= SHARD_IDS:
                     yield flush()
-                    names, chunks, n, shard = [], [], 0, shard + 1
-        if names:
+                    out, shard = DacWriter(), shard + 1
+        if out.keys:
             yield flush()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]

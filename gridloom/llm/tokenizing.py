@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _HAZARD = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "] "
 #: Bytes of text that are encoded at a time, and of a piece of a long text.
-BATCH_BYTES, PIECE_CHARS = 12 << 20, 1 << 20
-#: Distinct units that a worker remembers before it starts afresh.
-CACHE_UNITS = 600_000
+BATCH_BYTES, PIECE_CHARS = 2 << 20, 1 << 18
+#: Distinct units, and bytes of them, that a worker remembers; beyond, it keeps those of the batch at hand.
+CACHE_UNITS, CACHE_BYTES = 250_000, 8 << 20
 _CHUNK = 256
 _loaded: dict = {}
 
@@ -61,15 +61,31 @@ class ByteUnits:
         self.led = np.zeros(max(vocab.values()) + 1, bool)
         for t, i in vocab.items():
             self.led[i] = t.startswith("Ġ")  # the byte alphabet's space
+        self.full, self.last = False, None
         self.reset()
 
     def reset(self):
         self.slots: dict[str, int] = {}
         self.heads: dict[str, int] = {}
-        self.n, self.used = 0, 0
+        self.n, self.used, self.chars = 0, 0, 0
         self.start, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
 
+    def keep(self, units: list[str], heads: list[str]):
+        """Forget all but these known units."""
+        old = [(np.fromiter(map(known.__getitem__, some), np.int64, len(some)), some) for known, some in ((self.slots, units), (self.heads, heads))]
+        held = [(self._flat(slots), self.len[slots], some) for slots, some in old]
+        self.reset()
+        for (ids, lens, some), into in zip(held, (self.slots, self.heads)):
+            into.update(zip(some, self._put(ids, lens)))
+            self.chars += sum(map(len, some))
+
+    def _flat(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of units, one after the other."""
+        lens = self.len[slots]
+        ends = np.cumsum(lens)
+        return self.ids[np.repeat(self.start[slots] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+
     def _put(self, ids: np.ndarray, lens: np.ndarray) -> range:
         while self.n + len(lens) > len(self.len):
             self.start, self.len = np.resize(self.start, 2 * len(self.start)), np.resize(self.len, 2 * len(self.len))
@@ -106,8 +122,6 @@ class ByteUnits:
 
     def by_slot(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Slots of all units of hazard-free texts, one text after the other, and each text's first place."""
-        if self.n > CACHE_UNITS:
-            self.reset()
         lists = pc.split_pattern(texts, " ")
         offs = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         flat = lists.flatten().dictionary_encode()
@@ -116,24 +130,36 @@ class ByteUnits:
         missing = [u for u in distinct if u not in known]
         if missing:
             self._learn(missing)
+            self.chars += sum(map(len, missing))
         slots = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[flat.indices.to_numpy()]
         first = offs[:-1]
         heads = [distinct[i] for i in flat.indices.to_numpy()[first]]
         new = list(dict.fromkeys(h for h in heads if h not in self.heads))
         self._learn_alone(new, new, self.heads)
         slots[first] = [self.heads[h] for h in heads]
+        self.full = self.n > CACHE_UNITS or self.chars > CACHE_BYTES
+        if self.full:
+            self.last = distinct, list(dict.fromkeys(heads))
         return slots, first
 
+    def _trimmed(self):
+        """Shrink what is remembered if it is too much; called when slots are no longer needed."""
+        if self.full:
+            self.keep(*self.last)
+            if self.n > CACHE_UNITS // 2 or self.chars > CACHE_BYTES // 2:
+                self.reset()
+            self.full, self.last = False, None
+
     def lengths(self, texts: pa.Array) -> np.ndarray:
         slots, first = self.by_slot(texts)
-        return np.add.reduceat(self.len[slots], first)
+        out = np.add.reduceat(self.len[slots], first)
+        self._trimmed()
+        return out
 
     def gather(self, texts: pa.Array) -> list[np.ndarray]:
         slots, first = self.by_slot(texts)
-        lens = self.len[slots]
-        ends = np.cumsum(lens)
-        flat = self.ids[np.repeat(self.start[slots] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
-        per_text = np.add.reduceat(lens, first)
+        flat, per_text = self._flat(slots), np.add.reduceat(self.len[slots], first)
+        self._trimmed()
         return np.split(flat, np.cumsum(per_text)[:-1])
 
 

@@ -135,7 +135,7 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
 
         def close_bundle():
             uri = f"{folder}/part-{part:06d}-{k:05d}.warc.zst"
-            put_file(uri, b"".join(frames) + seek_table(sizes))
+            put_file(uri, [*frames, seek_table(sizes)])
             out = pa.record_batch([pa.array([x[0] for x in index], pa.int64()), pa.array([uri] * len(index)), *(pa.array([x[i] for x in index], pa.int64()) for i in (1, 2, 3))], ["page_id", "uri", "frame", "place", "length"])
             frames.clear(), sizes.clear(), index.clear()
             return out
