@@ -33,9 +33,9 @@ def split_words(text: str):
     return F.split(ascii_lower(text), _BETWEEN, -1)
 
 
-def _count(words):
-    first, last = F.element_at(words, 1) == "", F.element_at(words, -1) == ""
-    return F.coalesce(F.size(words) - first.cast("int") - (last & (F.size(words) > 1)).cast("int"), F.lit(0)).cast("long")
+def _count(text):
+    """Number of words, of either case."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
 
 
 def item_words(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -132,15 +132,15 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     words are those of all its rows, each tested alone, and get the same hits; a null key is never
     hit. Items' nulls and empty tables give no window. Other columns are not carried.
     """
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", split_words("text").alias("words"))
-    index = Index(d.where("doc_id is not null"), items, window)
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    index = Index(d.where("doc_id is not null").select("doc_id", split_words("text").alias("words")), items, window)
     found = index.phrases().groupBy("doc_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
         F.collect_set(F.col("item_id").cast("string")).alias("ids"),
     )
     found = stored(found, "contaminated")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    out = d.select("doc_id", _count(F.col("words")).alias("n_words")).join(sized(found), "doc_id", "left")
+    out = d.select("doc_id", _count(F.col("text")).alias("n_words")).join(sized(found), "doc_id", "left")
     return out.select(
         F.col("doc_id").alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.encode(F.array_join(F.sort_array(ids), ","), "UTF-8"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),

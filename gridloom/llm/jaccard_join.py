@@ -330,14 +330,43 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Two documents link when the Jaccard similarity of their sets of distinct five-word shingles
     is 0.8 or more (with fewer words the whole sequence is one shingle); component_id is the
     smallest key reachable. Texts without words and null texts have an empty set and link with
-    nothing, not even each other. Rows of one key are one document in the result's components,
-    each with its own set size; a null key gets a null component and links nothing. Other columns
-    are not carried; an empty table gives an empty result.
+    nothing, not even each other. Rows of one key are one document, with the links of all of them:
+    one component, and each row its own set size. A null key gets a null component and links nothing.
+    Other columns are not carried; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = _components_of_rows(rows)
+    if out is None:  # keys repeat: rows get numbers, and a component of keys is one of rows joined by their keys
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        by_row = stored(_components_of_rows(rows.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text")), "row-components")
+        named = rows.select("row", F.col("doc_id").alias("d")).join(by_row.withColumnRenamed("doc_id", "row"), "row", "left")
+        named = stored(named.select("row", "d", F.col("component").alias("c")), "named-rows")
+        least = named.where("c is not null").groupBy("c").agg(F.min("d").alias("least"))
+        links = components(named.join(least, "c").select(F.col("d").alias("a"), F.col("least").alias("b")), "key-components")
+        sizes = by_row.select(F.col("doc_id").alias("row"), "n")
+        alone = _set_sizes(rows.where("doc_id is null").select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+        out = named.select("row", F.col("d").alias("doc_id")).join(sizes.unionByName(alone), "row")
+        out = out.join(links.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _set_sizes(rows: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in frugal(batches, 1):
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets_of(plain_text(b.column(1)))], pa.int64())], ["doc_id", "n"])
+
+    return rows.mapInArrow(run, "doc_id long, n long")
+
+
+def _components_of_rows(rows: DataFrame) -> DataFrame | None:
+    """Rows (doc_id, n, component) for rows (doc_id, text); None if keys repeat among those that have words."""
+    spark = rows.sparkSession
     scanned = stored(rows.mapInArrow(_scan, "doc_id long, n long, key binary, slice int, counts binary"), "sets")
     each = scanned.where("slice is null").select("doc_id", "n", "key")
+    named = each.where("doc_id is not null and n > 0")
+    if named.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
+        dropped(spark, scanned)
+        return None
 
     # crowded cells: at most 2^18 numbers come to the driver, and a table of as many booleans goes out
     grams = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -348,7 +377,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     held = spark.sparkContext.broadcast(hot)
 
     # equal sets are one class; its representative is the smallest key
-    named = each.where("doc_id is not null and n > 0")
     twins = named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("key", "rep")
     classes = compact(named.join(twins, "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "classes")
 
@@ -403,7 +431,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     out = each.join(classes.where("doc_id <> rep"), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return out.select("doc_id", "n", F.coalesce("component", "rep").alias("component"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ A text is lower-cased, its characters that are no letters become single spaces,
 one to four characters are hashed into a fixed number of buckets. Training counts buckets for each
 language where the text is; only sums are shuffled. The matrix of log-probabilities (languages x
 buckets) is broadcast, and a batch is scored with numpy as a sparse product. A document's
-score is the posterior of the chosen language from the mean log-likelihood of its n-grams, times
-a bounded evidence length, so it neither saturates at once nor ignores the text's length.
+score is the posterior of the chosen language where the mean log-likelihood of its n-grams counts as
+often as EVIDENCE n-grams, or all of a shorter text's: n-grams overlap, so all of them would be far too
+sure, and EVIDENCE is as small as keeps scores of mixed and short texts apart from those of plain ones.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from gridloom.llm.batches import frugal
 from gridloom.llm.shared import table
 from gridloom.llm.tokenizing import plain_text
 
-BUCKETS, GRAMS, SMOOTH, EVIDENCE = 1 << 15, 4, 0.5, 50.0
+BUCKETS, GRAMS, SMOOTH, EVIDENCE = 1 << 15, 4, 0.5, 2.0
 #: Languages that a model holds at most, so that its matrix stays under 130 MB.
 MOST_LANGUAGES = 1000
 _GROUP_CHARS = 1 << 19
@@ -59,7 +60,8 @@ def _grams(chars: np.ndarray, owner: np.ndarray):
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (languages x BUCKETS, float32) from all rows with a language.
 
-    Null texts and languages take no part. The driver gets at most MOST_LANGUAGES x BUCKETS sums.
+    Null texts and languages take no part; more than MOST_LANGUAGES languages are an error. The driver gets one packed
+    row of log-probabilities for each language.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
 
@@ -79,18 +81,32 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
             at = np.flatnonzero(c)
             yield pa.record_batch([pa.array([x] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "bucket", "k"])
 
+    def log_probabilities(batches):
+        held, name = None, None
+        for b in batches:
+            names, buckets, k = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for x, z in zip(cuts, cuts[1:]):
+                if x < z and names[x] != name:
+                    if held is not None:
+                        yield packed(name, held)
+                    name, held = names[x], np.full(BUCKETS, SMOOTH)
+                held[buckets[x:z]] += k[x:z]
+        if held is not None:
+            yield packed(name, held)
+
+    def packed(name, counts):
+        return pa.record_batch([pa.array([name], pa.string()), pa.array([np.log(counts / counts.sum()).astype("<f4").tobytes()], pa.binary())], ["lang", "logs"])
+
+    tasks = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     got = rows.mapInArrow(count, "lang string, bucket long, k long").groupBy("lang", "bucket").agg(F.sum("k").alias("k"))
-    # one row for each language: the bound on languages holds before the sums come to the driver
-    packed = got.groupBy("lang").agg(F.collect_list(F.struct("bucket", "k")).alias("c")).limit(MOST_LANGUAGES + 1)
-    found = sorted(packed.collect(), key=lambda r: r["lang"])
+    # a row of 128 KB for each language: the bound on languages holds before anything comes to the driver
+    rows = got.repartition(tasks, "lang").sortWithinPartitions("lang").mapInArrow(log_probabilities, "lang string, logs binary")
+    found = sorted(rows.limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = np.zeros((len(found), BUCKETS))
-    for i, r in enumerate(found):
-        for x in r["c"]:
-            counts[i, x["bucket"]] = x["k"]
-    counts += SMOOTH
-    return [r["lang"] for r in found], np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    logs = np.frombuffer(b"".join(r["logs"] for r in found), "<f4").reshape(len(found), BUCKETS)
+    return [r["lang"] for r in found], logs
 
 
 def _scored(texts: pa.Array, names: list[str], logs: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:

@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import compact, dropped, stored, table
+from gridloom.llm.shared import beside, compact, dropped, ranged, running, stored, table
 
-#: Most copies of a document; Newton steps; documents in a cell before it is split.
-CAP, STEPS, CELL = 3, 40, 1024
+#: Most copies of a document; Newton steps at most; documents in a cell before it is split; steps of a rate.
+CAP, STEPS, CELL, UNIT = 3, 100, 1024, 1_000_000
 
 
 def source_targets(sizes: DataFrame, share: float = 1.0, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
@@ -28,20 +28,17 @@ def source_targets(sizes: DataFrame, share: float = 1.0, weights: tuple[int, ...
     none is above. That fixed point is one threshold on size per weight, found by running sums.
     """
     s = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("k")).alias("source_size"), F.sum("k").alias("source_docs"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())  # a row for each source
-    s = s.withColumn("i", F.row_number().over(by_name) - 1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
+    s = running(ranged(s, ["source"], "mix-sources"), ["source"], {"i": F.lit(1).cast("long")}).drop("range_")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("i") - 1) % len(weights) + 1).cast("int"))
     s = s.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(cap)).withColumn("ratio", F.col("most") / F.col("weight"))
     # sources in the order in which they reach their caps: the level if all before are full
-    full = Window.orderBy("ratio", "i")
-    s = s.withColumn("full_before", F.coalesce(F.sum("most").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("weight_left", F.sum("weight").over(full.rowsBetween(0, Window.unboundedFollowing)))
-    everything = Window.partitionBy()
-    s = s.withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
-    s = s.withColumn("level", (F.col("total") - F.col("full_before")) / F.col("weight_left"))
+    s = running(ranged(s, ["ratio", "i"], "mix-sources"), ["ratio", "i"], {"full": F.col("most"), "weighed": F.col("weight")})
+    s = stored(s.drop("range_"), "mix-sources", parts=4)
+    total, weighed = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * F.lit(share), F.sum("weight")).first()
+    level = (F.lit(total) - F.col("full") + F.col("most")) / (F.lit(weighed) - F.col("weighed") + F.col("weight"))
     # the first whose cap is above its level stays open, and all after it
-    s = s.withColumn("open_level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "i", "level"))).over(everything)["level"])
-    target = F.least("most", F.col("weight") * F.coalesce("open_level", F.lit(float("inf"))))
+    opened = s.where(F.col("ratio") >= level).agg(F.min(F.struct("ratio", "i", level.alias("level")))["level"]).first()[0]
+    target = F.least("most", F.col("weight") * F.lit(float("inf") if opened is None else opened))
     return s.select("source", "source_size", "source_docs", target.alias("target"))
 
 
@@ -69,13 +66,15 @@ def balanced(cells: DataFrame, targets: DataFrame, cap: int = CAP, steps: int =
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
         step = step.withColumn("l", lo).withColumn("h", hi).withColumn("newton", F.col("lam") - (F.col("got") - F.col("goal")) / F.when(F.col("slope") > 0, F.col("slope")))
         inside = (F.col("newton") > F.col("l")) & (F.col("newton") < F.col("h"))
-        done = F.abs(F.col("got") - F.col("goal")) <= F.col("goal") * 1e-9
+        done = (F.abs(F.col("got") - F.col("goal")) <= F.col("goal") * 1e-9) | (F.col("h") - F.col("l") <= F.lit(1e-13) * F.greatest(F.lit(1.0), F.abs("l")))
         step = step.select("source", "goal", F.when(done, F.col("lam")).when(inside, F.col("newton")).otherwise((F.col("l") + F.col("h")) / 2).alias("lam"), F.col("l").alias("lo"), F.col("h").alias("hi"), done.alias("done"))
         after = stored(step, "mix-state", parts=4)
         dropped(c.sparkSession, state)
         state = after
         if state.where("not done").limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError("the dual did not converge")
     lam = state.select(F.col("source").alias("s"), "lam")
     rate = F.when(F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12)), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("x"), F.lit(50.0)))))
     positive = c.join(lam, c.source.eqNullSafe(F.col("s"))).select("source", "size", "source_size", "target", rate.alias("rate"))
@@ -89,22 +88,28 @@ def rounded(parts: DataFrame, cap: int = CAP) -> DataFrame:
     Every document of a part gets ``whole`` copies and ``more`` of them one extra. Along each
     source's sizes running sums are rounded, so the error is below half a long document; what is
     missing then moves into the rates of the shorter half, and what that leaves into the shortest
-    tenth, which are rounded anew.
+    tenth, which are rounded anew. Rates are whole numbers of 1/UNIT, so that sums don't depend on any order.
     """
-    p = parts.withColumn("rest", F.lit(0.0)).withColumn("whole", F.lit(0).cast("long")).withColumn("more", F.lit(0).cast("long")).withColumn("want", F.col("k") * F.col("rate") * F.col("size"))
-    source = Window.partitionBy("source")
-    along = source.orderBy("size", "part")
-    p = p.withColumn("rank", F.sum("k").over(along) / F.sum("k").over(source))
-    for part in (1.0, 0.5, 0.1):
-        inside = F.col("rank") <= part
-        have = (F.col("k") * F.col("whole") + F.col("more")) * F.col("size")
-        missing = F.sum(F.col("want") - have).over(source) if part < 1 else F.lit(0.0)
-        room = F.sum(F.when(inside, F.col("k") * F.col("size")).otherwise(0)).over(source)
-        p = p.withColumn("shift", F.when(inside & (room > 0), missing / F.when(room > 0, room)).otherwise(0.0))
-        p = p.withColumn("rate", F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), F.round(F.col("rate") + F.col("shift"), 9))))
-        p = p.withColumn("rest", F.when(inside, F.col("k") * (F.col("rate") - F.floor("rate"))).otherwise(0.0)).withColumn("run", F.sum("rest").over(along))
-        more = F.floor(F.round("run", 6) + 0.5) - F.floor(F.round(F.col("run") - F.col("rest"), 6) + 0.5)
-        p = p.withColumn("whole", F.when(inside, F.floor("rate")).otherwise(F.col("whole")).cast("long")).withColumn("more", F.when(inside, more).otherwise(F.col("more")).cast("long"))
+    zero, line = F.lit(0).cast("long"), ["size", "part"]
+    p = ranged(parts.withColumn("want", F.round(F.col("k") * F.col("rate") * F.col("size") * 1000).cast("long")), ["source", *line], "mix-ranged")
+    p = running(p, line, {"seen": F.col("k")}, ["source"])
+    docs = stored(parts.groupBy("source").agg(F.sum("k").alias("docs")), "mix-totals", parts=4)
+    p = beside(p, docs, ["source"]).withColumn("rank", F.col("seen") / F.col("docs")).withColumn("whole", zero).withColumn("more", zero)
+    p = p.select("source", "size", "part", "k", "rate", "want", "rank", "whole", "more", "range_")
+    for share in (1.0, 0.5, 0.1):
+        p = compact(p, "mix-rounds")
+        inside = F.col("rank") <= share
+        have = (F.col("k") * F.col("whole") + F.col("more")) * F.col("size") * 1000
+        missing = F.sum(F.col("want") - have) if share < 1 else F.max(zero)
+        room = F.sum(F.when(inside, F.col("k") * F.col("size")).otherwise(zero))
+        q = beside(p, stored(p.groupBy("source").agg(missing.alias("missing"), room.alias("room")), "mix-totals", parts=4), ["source"])
+        shift = F.when(inside & (F.col("room") > 0), F.col("missing") / F.when(F.col("room") > 0, F.col("room")) / 1000).otherwise(0.0)
+        units = F.round(F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), F.col("rate") + shift)) * UNIT).cast("long")
+        q = q.withColumn("units", units).withColumn("rate", F.col("units") / UNIT).withColumn("rest", F.when(inside, F.col("k") * F.expr(f"units % {UNIT}")).otherwise(zero))
+        q = running(q, line, {"run": F.col("rest")}, ["source"])
+        more = F.expr(f"(run + {UNIT // 2}) div {UNIT} - (run - rest + {UNIT // 2}) div {UNIT}")
+        p = q.withColumn("whole", F.when(inside, F.expr(f"units div {UNIT}")).otherwise(F.col("whole"))).withColumn("more", F.when(inside, more).otherwise(F.col("more")))
+        p = p.select("source", "size", "part", "k", "rate", "want", "rank", "whole", "more", "range_")
     return p.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), "whole", "more")
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of one id column that are broadcast at most (a hashed relation of about 16 MB).
-BROADCAST_ROWS = 500_000
+#: Bytes of a table's rows, as text, and rows that are broadcast at most (a hashed relation of some 32 MB).
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests, a folder under /tmp takes its place.
+    Only a local session (one JVM, as in tests) may leave it unset; a folder under /tmp then takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster sees")
         root = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -67,16 +69,48 @@ def compact(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` (cheap to count: a written table) has at most ``rows`` rows."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` (a written table) has at most so many rows, and bytes of them written out as text, arrays included."""
+    n, text = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return n <= rows and text <= size
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows allow it, else left to a shuffled join."""
+    """``df`` marked for broadcast if its counted rows and bytes allow it, else left to a shuffled join."""
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def ranged(df: DataFrame, order: list[str], label: str = "ranged") -> DataFrame:
+    """``df`` dealt by ranges of ``order`` (nulls last) and stored, with the range's number: range_."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(ranges, *(F.col(c).asc_nulls_last() for c in order)).withColumn("range_", F.spark_partition_id()), label)
+
+
+def beside(df: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``per``, which has one row for each value of ``keys``; nulls are equal."""
+    per = per.select(*(F.col(c).alias(f"{c}__") for c in keys), *(c for c in per.columns if c not in keys))
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}__"))
+    return df.join(sized(per), same).drop(*(f"{c}__" for c in keys))
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """``df`` (of ``ranged`` by ``by`` and ``order``) with running sums along ``order``, unique inside ``by``, up to each row.
+
+    Rows are summed inside their range; a range then adds what the ranges before it have, a row for
+    each range and group that it touches. So no task gets more than a range, however many rows a group has.
+    """
+    by = by or []
+    along = [F.col(c).asc_nulls_last() for c in order]
+    inside = Window.partitionBy(*by, "range_").orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*by, "range_").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    totals = stored(totals.select(*by, "range_", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in sums)), "range-sums", parts=4)
+    out = beside(df.select("*", *(F.sum(c).over(inside).alias(n) for n, c in sums.items())), totals, [*by, "range_"])
+    return out.select(*df.columns, *((F.col(n) + F.col(f"before_{n}")).alias(n) for n in sums))
+
+
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 64) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node.
 

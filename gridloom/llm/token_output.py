@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.batches import frugal
-from gridloom.llm.shared import scratch, stored, table
+from gridloom.llm.shared import ranged, running, scratch, stored, table
 from gridloom.llm.tokenizing import BATCH_BYTES, encoder, plain_text, tokenizer_file
 
 MAGIC = b"GLDAC001"
@@ -189,7 +189,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 def read_token_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for each document in the shards: ``key``, start (ids of all documents before), n_tokens, ids_crc32."""
-    first = F.sum("n_ids").over(Window.orderBy("part", "shard")) - F.col("n_ids")  # a row for each shard: metadata only
+    placed = running(ranged(shards, ["part", "shard"]), ["part", "shard"], {"upto": F.col("n_ids")})
 
     def read(batches):
         for b in batches:
@@ -207,7 +207,7 @@ def read_token_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:
 
     tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        shards.select("uri", first.alias("first_id")).repartition(tasks, "uri")
+        placed.select("uri", (F.col("upto") - F.col("n_ids")).alias("first_id")).repartition(tasks, "uri")
         .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
         .withColumnRenamed("doc_id", key)
     )

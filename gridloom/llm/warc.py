@@ -117,8 +117,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
     """Write a record for each row of ``pages`` and return the stored index: page_id, uri, frame, place, length.
 
-    A task that is run again replaces its bundles by the same records under the same names. An
-    empty table writes no bundle. Other columns are not archived.
+    Each task writes its rows in the order of page_id, url and digest (nulls first; rows equal in all are
+    equal records), so one that is run again replaces its bundles by the same bytes under the same names. An
+    empty table writes no bundle. A frame holds at least one record whole, however long its payload; other
+    columns are not archived.
     """
     store, path = pafs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
@@ -155,11 +157,15 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
         if frames:
             yield close_bundle()
 
-    return stored(with_revisits(pages).mapInArrow(write, "page_id long, uri string, frame long, place long, length long"), "warc-index")
+    rows = with_revisits(pages).sortWithinPartitions("page_id", "url", "digest")
+    return stored(rows.mapInArrow(write, "page_id long, uri string, frame long, place long, length long"), "warc-index")
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """The records that ``index`` names, read frame by frame: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """The records that ``index`` names, read frame by frame: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A row for each row of the index, repeated and null page_ids included; one frame is held at a time.
+    """
 
     def read(batches):
         uri, bundle, k, frame = None, None, None, b""

@@ -43,6 +43,22 @@ def test_null_and_repeated_keys_and_no_rows(spark):
     assert j.jaccard_components(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "rows, expected",
+    [
+        ([(1, "T"), (5, "T"), (5, "T"), (7, "U")], {1: 1, 5: 1, 7: 7}),
+        ([(1, "T"), (2, "S"), (5, "T"), (5, "S")], {1: 1, 2: 1, 5: 1}),
+        ([(1, "T"), (2, "S"), (3, "U"), (9, "S"), (9, None), (9, "near U"), (None, "T"), (4, None)], {1: 1, 2: 2, 3: 2, 9: 2, 4: 4, None: None}),
+    ],
+)
+def test_repeated_keys_that_are_not_the_smallest(spark, rows, expected):
+    """One row for each row, one component for each key, with the links of all its rows."""
+    texts = {"T": "a b c d e", "S": "f g h i j k", "U": " ".join(map(str, range(60))), "near U": " ".join(map(str, range(59))), None: None}
+    df = spark.createDataFrame([(d, texts[t]) for d, t in rows], "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.jaccard_components(df).collect()), key=str)
+    assert got == sorted(((d, len(brute.shingles(texts[t])), expected[d]) for d, t in rows), key=str)
+
+
 def test_a_very_long_text(spark):
     long = " ".join(str(i * i % 7919) for i in range(300_000))
     df = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "x")], "doc_id long, text string")

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from gridloom.llm import tokenizing
 from gridloom.llm.shared import scratch
 from gridloom.llm.token_counts import token_counts
 from gridloom.llm.token_output import DacReader, dac_bytes, read_token_shards, write_token_shards
@@ -21,9 +22,11 @@ def random_texts(n):
     return ["".join(random.choice(PARTS) for _ in range(random.randint(0, 40))) for _ in range(n)]
 
 
+TOKENIZER = Tokenizer.from_file(BYTES)
+
+
 def plain(texts):
-    t = Tokenizer.from_file(BYTES)
-    return [t.encode(x, add_special_tokens=False).ids for x in texts]
+    return [TOKENIZER.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_units_give_the_librarys_ids():
@@ -33,6 +36,13 @@ def test_units_give_the_librarys_ids():
     assert enc.run(pa.array(texts), True) == [len(x) for x in plain(texts)]
 
 
+def test_a_small_memory_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokenizing, "CACHE_UNITS", 60)
+    monkeypatch.setattr(tokenizing, "BATCH_BYTES", 400)
+    texts = random_texts(400) + ["the a é"] * 40
+    assert [x.tolist() for x in Encoder(*tokenizer_file(BYTES)).run(pa.array(texts), False)] == plain(texts)
+
+
 def test_safe_pieces_keep_the_tokens():
     for text in random_texts(300):
         pieces = safe_pieces(text, 5)
