@@ -6,7 +6,7 @@ from gridloom.functions import exact
 from gridloom.grid import CRS, Grid
 from gridloom.operators import algebra, transfer
 from gridloom.raster import Raster
-from tests.fixtures import SPECIAL, noisy, same
+from tests.fixtures import SPECIAL, ragged, same
 
 A, B = (x.astype(np.float32) for x in np.meshgrid(SPECIAL, SPECIAL))
 
@@ -29,7 +29,7 @@ def test_binary_on_special_values(spark, op, want):
 
 
 def test_validity_is_of_all_inputs(spark):
-    z, ok = noisy()
+    z, ok = ragged()
     other = np.roll(ok, 5, 1)
     r = algebra.mul(Raster.from_numpy(spark, z, ok), Raster.from_numpy(spark, z, other))
     assert r.df.schema["v"].dataType.simpleString() == "float"
@@ -51,7 +51,7 @@ def test_single_input_operations(spark):
 
 
 def test_normalize(spark):
-    z, ok = noisy()
+    z, ok = ragged()
     got, valid = algebra.normalize(Raster.from_numpy(spark, z, ok)).to_numpy()
     lo, hi = z[ok].min(), z[ok].max()
     assert (valid == ok).all() and same(got[ok], ((z - lo) / (hi - lo))[ok])
@@ -81,7 +81,7 @@ def test_options_are_checked_at_once(spark):
 
 
 def test_raster_surface(spark):
-    z, ok = noisy(20, 10)
+    z, ok = ragged(20, 10)
     r = Raster.from_numpy(spark, z, ok, Grid(20, 10, 2.0, -2.0, 100.0, 50.0))
     w = r.window(3, 2, 5, 4)
     got, valid = w.to_numpy()

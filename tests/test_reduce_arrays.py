@@ -7,7 +7,7 @@ import pytest
 from gridloom.operators import reduce
 from gridloom.operators.ndarray import NdArray, broadcast_shape
 from gridloom.raster import Raster
-from tests.fixtures import noisy
+from tests.fixtures import ragged
 
 
 def raster(spark, values, ok=None):
@@ -44,7 +44,7 @@ def test_empty_and_extremes(spark):
 
 
 def test_fast_statistics_are_close(spark):
-    z, ok = noisy()
+    z, ok = ragged()
     a, b = reduce.stats(Raster.from_numpy(spark, z, ok)).first(), reduce.stats_fast(Raster.from_numpy(spark, z, ok)).first()
     assert a["count"] == b["count"] and a["sum"] == pytest.approx(b["sum"], rel=1e-12) and a["stddev"] == pytest.approx(b["stddev"], rel=1e-9)
 
@@ -135,7 +135,7 @@ def test_reductions(spark, stack):
 
 
 def test_raster_bridge(spark):
-    z, ok = noisy(8, 6)
+    z, ok = ragged(8, 6)
     r = Raster.from_numpy(spark, z, ok)
     back = NdArray.from_raster(r).to_raster()
     assert (back.width, back.height) == (8, 6) and back.df.where("v is null").count() == (~ok).sum()

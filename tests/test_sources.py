@@ -14,12 +14,12 @@ from gridloom.raster import Raster
 from gridloom.sources import geotiff, raw, zarr
 from gridloom.sources.store import reader
 from gridloom.streaming.mosaic import SCHEMA, cell_stream, current_mosaic, start_mosaic
-from tests.fixtures import hill, noisy, same
+from tests.fixtures import ragged, ridges, same
 
 
 def test_raw_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(raw, "STRIP_CELLS", 300)
-    z, ok = noisy(40, 30)
+    z, ok = ragged(40, 30)
     path = f"{tmp_path}/a.f32"
     np.where(ok, z, np.float32(-9999)).astype("<f4").tofile(path)
     got, valid = raw.read_raw(spark, path, 40, 30, fill=-9999).to_numpy()
@@ -32,7 +32,7 @@ def test_raw_file(spark, tmp_path, monkeypatch):
 
 def test_raw_folder_and_join(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(raw, "STRIP_CELLS", 300)
-    z, ok = noisy(40, 30)
+    z, ok = ragged(40, 30)
     r = Raster.from_numpy(spark, z, ok)
     raw.write_raw(Raster(r.df.repartition(4), 40, 30), f"{tmp_path}/b", fill=-1)
     got, valid = raw.read_raw(spark, f"{tmp_path}/b", 40, 30, fill=-1).to_numpy()
@@ -45,7 +45,7 @@ def test_raw_folder_and_join(spark, tmp_path, monkeypatch):
 
 def test_raw_stencil_without_a_shuffle(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(raw, "STRIP_CELLS", 300)
-    z, ok = noisy(40, 30)
+    z, ok = ragged(40, 30)
     path, s = f"{tmp_path}/a.f32", k.Scale(10.0)
     np.where(ok, z, np.float32(-9999)).astype("<f4").tofile(path)
     raw.raw_stencil(spark, path, 40, 30, f"{tmp_path}/s", 1, lambda a: k.slope(*k.horn(a, s), "degrees"), fill=-9999)
@@ -56,7 +56,7 @@ def test_raw_stencil_without_a_shuffle(spark, tmp_path, monkeypatch):
 
 def test_raw_map_of_two_files_and_extremes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(raw, "STRIP_CELLS", 300)
-    z, _ = noisy(40, 30)
+    z, _ = ragged(40, 30)
     paths = [f"{tmp_path}/a.f32", f"{tmp_path}/b.f32"]
     z.tofile(paths[0]), np.roll(z, 1, 0).tofile(paths[1])
     raw.raw_map(spark, paths, 40, 30, f"{tmp_path}/s", 0, lambda a, b: a + b)
@@ -277,7 +277,7 @@ def server():
 
 
 def test_http_ranges(spark, server):
-    a = hill(300, 200)[:, :, None]
+    a = ridges(300, 200)[:, :, None]
     Ranges.data = tiff([{"data": a, "block": (64, 64), "tags": GEO}])
     Ranges.faults = 2
     got, ok = geotiff.read_geotiff(spark, server).to_numpy()

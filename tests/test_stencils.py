@@ -6,7 +6,7 @@ import pytest
 from gridloom.functions import kernels as k
 from gridloom.operators import focal, terrain
 from gridloom.raster import Raster, stencil_raster
-from tests.fixtures import hill, noisy, plane, same
+from tests.fixtures import ragged, ramp, ridges, same
 
 F4 = np.float32
 
@@ -58,7 +58,7 @@ CASES = [
 
 @pytest.mark.parametrize("name, op, radius, want, tolerance", CASES, ids=[c[0] for c in CASES])
 def test_against_double_precision(spark, name, op, radius, want, tolerance):
-    z, ok = noisy(45, 31)
+    z, ok = ragged(45, 31)
     got, valid = op(Raster.from_numpy(spark, z, ok)).to_numpy()
     expected, expected_ok = naive(z, ok, radius, want or (lambda n: 0.0))
     assert (valid == expected_ok).all()
@@ -71,7 +71,7 @@ def test_against_double_precision(spark, name, op, radius, want, tolerance):
 
 @pytest.mark.parametrize("tile", [1, 7, 16, 1000])
 def test_the_tiling_changes_nothing(spark, tile):
-    z, ok = noisy(45, 31)
+    z, ok = ragged(45, 31)
     r = Raster.from_numpy(spark, z, ok)
     s = k.Scale(10.0)
     whole, good = terrain.slope(r, 10).to_numpy()
@@ -80,7 +80,7 @@ def test_the_tiling_changes_nothing(spark, tile):
 
 
 def test_windows_give_the_same_bits(spark):
-    z, ok = noisy(45, 31)
+    z, ok = ragged(45, 31)
     r = Raster.from_numpy(spark, z, ok)
     a, b = terrain.slope(r, 10, unit="percent").to_numpy(), terrain.slope_percent_sql(r, 10).to_numpy()
     assert (a[1] == b[1]).all() and same(a[0][a[1]], b[0][a[1]])
@@ -93,10 +93,10 @@ def test_small_rasters(spark, shape):
     assert not focal.mean(Raster.from_numpy(spark, np.ones(shape, F4), np.zeros(shape, bool)), 1).to_numpy()[1].any()
 
 
-def test_plane_and_flat(spark):
-    r = Raster.from_numpy(spark, plane())
+def test_ramp_and_flat(spark):
+    r = Raster.from_numpy(spark, ramp())
     got, ok = terrain.slope(r, 10, unit="percent").to_numpy()
-    assert np.allclose(got[ok], 100 * math.hypot(0.03, 0.07), rtol=1e-4)
+    assert np.allclose(got[ok], 100 * math.hypot(0.05, 0.125), rtol=1e-4)
     for kind in ("profile", "plan", "mean"):
         got, ok = terrain.curvature(r, 10, kind=kind).to_numpy()
         assert np.abs(got[ok]).max() < 1e-3
@@ -113,7 +113,7 @@ def test_fit_of_a_quadric_is_exact(spark):
 
 
 def test_surface_and_features_are_the_single_results(spark):
-    z, ok = noisy(40, 30)
+    z, ok = ragged(40, 30)
     r = Raster.from_numpy(spark, z, ok)
     df = terrain.features(r, [terrain.f_slope(10, name="a"), terrain.f_ruggedness("tpi", 4, name="b"), terrain.f_aspect(10, fit=2, name="c"), terrain.f_curvature(10, kind="plan", name="d")])
     singles = {"a": terrain.slope(r, 10), "b": terrain.ruggedness(r, "tpi", 4), "c": terrain.aspect(r, 10, fit=2), "d": terrain.curvature(r, 10, kind="plan")}
@@ -127,7 +127,7 @@ def test_surface_and_features_are_the_single_results(spark):
 
 
 def test_weighted_slope_erodes_only_the_elevations(spark):
-    z, ok = hill(20, 20), np.ones((20, 20), bool)
+    z, ok = ridges(20, 20), np.ones((20, 20), bool)
     ok[10, 10] = False
     _, valid = terrain.weighted_slope(Raster.from_numpy(spark, z), Raster.from_numpy(spark, z, ok), 10).to_numpy()
     assert valid.sum() == 18 * 18 - 1

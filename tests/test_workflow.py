@@ -5,11 +5,11 @@ from gridloom.grid import Grid
 from gridloom.operators import terrain
 from gridloom.plans.workflow import Workflow
 from gridloom.raster import Raster
-from tests.fixtures import noisy, same
+from tests.fixtures import ragged, same
 
 
 def rasters(spark):
-    z, ok = noisy(40, 30)
+    z, ok = ragged(40, 30)
     return Raster.from_numpy(spark, z, ok), Raster.from_numpy(spark, np.roll(z, 3, 0), ok)
 
 
