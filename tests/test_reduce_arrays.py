@@ -139,3 +139,22 @@ def test_raster_bridge(spark):
     r = Raster.from_numpy(spark, z, ok)
     back = NdArray.from_raster(r).to_raster()
     assert (back.width, back.height) == (8, 6) and back.df.where("v is null").count() == (~ok).sum()
+
+
+def test_bins_hold_more_than_a_long_of_values():
+    """Limb sums as 2^45 cells of the largest float would leave them: no LONG is near its end, and the total is exact."""
+    n, top = 1 << 45, float(np.finfo(np.float32).max)
+    u = reduce._UNITS[-1]
+    sig = int(math.ldexp(top, -u))
+    limbs = [sig & 8191, sig >> 13 & 8191, sig >> 26]
+    row = {"bin": u, "n": n, "nan": 0, "pinf": 0, "ninf": 0, "mzero": 0, **{f"s{k}": x * n for k, x in enumerate(limbs)}}
+    assert all(x * n < 2**62 for x in limbs) and reduce.finished_sum([row])[0] == top * float(n)
+
+
+def test_split_is_exact_for_every_magnitude(spark):
+    rng = np.random.default_rng(3)
+    z = rng.integers(0, 2**32, 4000, dtype=np.uint32).view(np.float32)
+    z = np.concatenate([z[np.isfinite(z)], np.float32([2.0**k for k in range(-149, 128)]), np.float32([1e-45, -1e-45, 3.4028235e38])])
+    df = Raster.from_numpy(spark, z[None]).df
+    got = reduce._split(df, "v", reduce.F.col("v") != 0)[0].where("v <> 0").select("v", "bin", "sig").collect()
+    assert all(math.ldexp(r.sig, r.bin) == r.v and abs(r.sig) < 2**39 for r in got) and len(got) == int((z != 0).sum())
