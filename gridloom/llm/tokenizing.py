@@ -23,7 +23,7 @@ _HAZARD = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "] "
 #: Bytes of text that are encoded at a time, and of a piece of a long text.
 BATCH_BYTES, PIECE_CHARS = 2 << 20, 1 << 18
 #: Distinct units, and bytes of them, that a worker remembers; beyond, it keeps those of the batch at hand.
-CACHE_UNITS, CACHE_BYTES = 250_000, 8 << 20
+CACHE_UNITS, CACHE_BYTES = 450_000, 14 << 20
 _CHUNK = 256
 _loaded: dict = {}
 
