@@ -370,12 +370,14 @@ def is_no_data(a: np.ndarray, v: float | None) -> np.ndarray:
         return (a == n) | (np.abs(a - n) < e * np.abs(a + n) * kind(2))
 
 
-def _rows(im: Image, mask: Image | None, read, block_row: int, band: int, nodata: float | None):
-    """A row of blocks: float32 values and validity."""
+def _rows(im: Image, mask: Image | None, read, block_row: int, band: int, nodata: float | None, lo: int = 0, hi: int | None = None):
+    """A row of blocks from block lo to block hi: float32 values and validity, from column lo * block_w on."""
     y0, h = block_row * im.block_h, min(im.block_h, im.height - block_row * im.block_h)
     rows = im.block_h if TILE_WIDTH in im.tags else h
+    hi = im.across if hi is None else hi
+    left, right = lo * im.block_w, min(im.width, hi * im.block_w)
     out, ok = np.zeros((h, im.width), np.float32), np.ones((h, im.width), bool)
-    for bx in range(im.across):
+    for bx in range(lo, hi):
         index = (band * im.down + block_row) * im.across + bx if im.planar else block_row * im.across + bx
         a = block(im, read, index, rows, band)
         x0, w = bx * im.block_w, min(im.block_w, im.width - bx * im.block_w)
@@ -391,31 +393,41 @@ def _rows(im: Image, mask: Image | None, read, block_row: int, band: int, nodata
         ok[:] = False
         for my in range(y0 // mask.block_h, -(-(y0 + h) // mask.block_h)):
             n = mask.block_h if TILE_WIDTH in mask.tags else min(mask.block_h, mask.height - my * mask.block_h)
-            for bx in range(mask.across):
+            for bx in range(left // mask.block_w, -(-right // mask.block_w)):
                 a = block(mask, read, my * mask.across + bx, n, 0)
                 if a is None:
                     continue
                 top, x0 = my * mask.block_h, bx * mask.block_w
-                lo, hi, w = max(y0, top), min(y0 + h, top + n, mask.height), min(mask.block_w, mask.width - x0)
-                ok[lo - y0 : hi - y0, x0 : x0 + w] = a[lo - top : hi - top, :w] != 0
-    return out, ok
+                first, end, w = max(y0, top), min(y0 + h, top + n, mask.height), min(mask.block_w, mask.width - x0)
+                ok[first - y0 : end - y0, x0 : x0 + w] = a[first - top : end - top, :w] != 0
+    return out[:, left:right], ok[:, left:right]
 
 
-def read_geotiff(spark: SparkSession, uri: str, band: int = 0, level: int = 0) -> Raster:
-    """A band (from 0) of a level (0: full resolution, then overviews) as a raster; a task for each row of blocks at most."""
+def read_geotiff(spark: SparkSession, uri: str, band: int = 0, level: int = 0, window: tuple[int, int, int, int] | None = None) -> Raster:
+    """A band (from 0) of a level (0: full resolution, then overviews) as a raster; a task for each row of blocks at most.
+
+    ``window`` (x, y, width, height) is a raster of its own, like ``Raster.window``; only the blocks it touches are read.
+    """
     f = open_geotiff(uri)
     if not 0 <= level < len(f.levels) or not 0 <= band < f.bands:
         raise ValueError(f"band {band} of {f.bands}, level {level} of {len(f.levels)}")
     im, mask = f.levels[level], f.masks[level]
     nodata = None if mask is not None else no_data(f.nodata, im.dtype)
+    x0, y0, w, h = window or (0, 0, im.width, im.height)
+    grid = f.level_grid(level).window(x0, y0, w, h)
+    lo, hi = x0 // im.block_w, -(-(x0 + w) // im.block_w)
 
     def run(batches):
         read = reader(uri)
         for b in batches:
             for k in b.column(0).to_pylist():
-                v, ok = _rows(im, mask, read, k, band, nodata)
-                y, x = np.divmod(np.arange(v.size, dtype=np.int32), im.width)
-                yield pa.record_batch([pa.array(y + k * im.block_h, pa.int32()), pa.array(x, pa.int32()), pa.array(v.ravel(), mask=~ok.ravel())], ["y", "x", "v"])
-
-    rows = spark.range(0, im.down, 1, min(im.down, 10_000))
-    return Raster(rows.mapInArrow(run, "y int, x int, v float"), im.width, im.height, f.level_grid(level))
+                v, ok = _rows(im, mask, read, k, band, nodata, lo, hi)
+                top, left = k * im.block_h, lo * im.block_w
+                part = (slice(max(0, y0 - top), min(v.shape[0], y0 + h - top)), slice(x0 - left, x0 + w - left))
+                v, ok = v[part], ok[part]
+                y, x = np.divmod(np.arange(v.size, dtype=np.int32), max(w, 1))
+                yield pa.record_batch([pa.array(y + max(0, top - y0), pa.int32()), pa.array(x, pa.int32()), pa.array(v.ravel(), mask=~ok.ravel())], ["y", "x", "v"])
+
+    first, end = (y0 // im.block_h, -(-(y0 + h) // im.block_h)) if w and h else (0, 0)
+    rows = spark.range(first, end, 1, max(1, min(end - first, 10_000)))
+    return Raster(rows.mapInArrow(run, "y int, x int, v float"), w, h, grid)

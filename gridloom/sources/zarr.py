@@ -23,20 +23,53 @@ from gridloom.operators.ndarray import TYPES, NdArray
 from gridloom.raster import Raster
 from gridloom.sources.store import reader, store_of
 
-_CRC = []
+#: The polynomial of CRC-32C, lowest bit first (a fixed value).
+_POLYNOMIAL = 0x82F63B78
+_LANE = 1 << 10
+
+
+def _after_byte() -> np.ndarray:
+    """The register after each byte, from 0."""
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, c >> 1 ^ np.uint32(_POLYNOMIAL), c >> 1)
+    return c
+
+
+_BYTE = _after_byte()
+
+
+def _through_zeros(c: np.ndarray, n: int) -> np.ndarray:
+    """Registers after n zero bytes: the register's bits move independently, so n bytes are squarings of one."""
+    columns = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    step = columns >> np.uint32(8) ^ _BYTE[columns & 255]
+    apply = lambda m, v: np.bitwise_xor.reduce(np.where((v[..., None] >> np.arange(32, dtype=np.uint32)) & 1, m, np.uint32(0)), axis=-1)
+    while n:
+        if n & 1:
+            c = apply(step, c)
+        step, n = apply(step, step), n >> 1
+    return c
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C (Castagnoli)."""
-    if not _CRC:
-        for n in range(256):
-            for _ in range(8):
-                n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-            _CRC.append(n)
-    c = 0xFFFFFFFF
-    for b in data:
-        c = _CRC[(c ^ b) & 255] ^ c >> 8
-    return c ^ 0xFFFFFFFF
+    """CRC-32C (Castagnoli): lanes of the data side by side, then folded in order."""
+    lanes = len(data) // _LANE
+    body = np.frombuffer(data, np.uint8, lanes * _LANE).reshape(lanes, _LANE)
+    c = np.zeros(lanes, np.uint32)
+    for k in range(_LANE):
+        c = c >> np.uint32(8) ^ _BYTE[(c ^ body[:, k]) & 255]
+    # pairs of lanes become one, the left one moved through the right one's length; an odd one leads, as zeros before it change nothing
+    width = _LANE
+    while len(c) > 1:
+        if len(c) % 2:
+            c = np.concatenate([np.zeros(1, np.uint32), c])
+        c = _through_zeros(c[0::2], width) ^ c[1::2]
+        width *= 2
+    start = _through_zeros(np.full(1, 0xFFFFFFFF, np.uint32), lanes * _LANE)
+    register = int((start ^ c)[0]) if lanes else int(start[0])
+    for b in data[lanes * _LANE :]:
+        register = register >> 8 ^ int(_BYTE[(register ^ b) & 255])
+    return register ^ 0xFFFFFFFF
 
 
 @dataclass
@@ -145,37 +178,47 @@ def _is_fill(a: np.ndarray, fill) -> np.ndarray:
     return np.isnan(a) if a.dtype.kind == "f" and math.isnan(float(fill)) else a == fill
 
 
-def read_zarr(spark: SparkSession, uri: str, ignore_fill: bool = False) -> NdArray:
-    """All dimensions of an array; chunks that nobody wrote read as the fill value."""
+def read_zarr(spark: SparkSession, uri: str, ignore_fill: bool = False, window: tuple[tuple[int, int], ...] | None = None) -> NdArray:
+    """All dimensions of an array; chunks that nobody wrote read as the fill value.
+
+    ``window`` has a range (first, end) for each dimension; only the chunks it touches are read, and places count from its start.
+    """
     z = open_zarr(uri)
-    grid = tuple(-(-s // c) for s, c in zip(z.shape, z.chunks))
+    window = window or tuple((0, s) for s in z.shape)
+    if len(window) != len(z.shape) or any(not 0 <= a <= e <= s for (a, e), s in zip(window, z.shape)):
+        raise ValueError("the window leaves the array")
+    lead = tuple(a // c for (a, _), c in zip(window, z.chunks))
+    grid = tuple(-(-e // c) - f if e > a else 0 for (a, e), c, f in zip(window, z.chunks, lead))
     n, rank, t = math.prod(grid), len(z.shape), TYPES[z.dtype][0]
     arrow = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0), "float": pa.float32(), "double": pa.float64()}[t]
 
     def run(batches):
         for b in batches:
             for k in b.column(0).to_pylist():
-                at = tuple(int(i) for i in np.unravel_index(k, grid)) if rank else ()
+                at = tuple(int(i) + f for i, f in zip(np.unravel_index(k, grid), lead)) if rank else ()
                 store, path = store_of(z.key(at))
                 if store.get_file_info(path).type.name == "File":
                     read = reader(z.key(at))
                     a = decoded(read(0, read.size), z.codecs, z.dtype, z.chunks, z.fill)
                 else:
                     a = np.full(z.chunks, z.fill, z.dtype)
-                a = a[tuple(slice(0, min(c, s - i * c)) for i, c, s in zip(at, z.chunks, z.shape))]
+                start = [max(0, w - i * c) for i, c, (w, _) in zip(at, z.chunks, window)]
+                a = a[tuple(slice(f, min(c, e - i * c)) for f, i, c, (_, e) in zip(start, at, z.chunks, window))]
                 ok = np.ones(a.shape, bool) if ignore_fill else ~_is_fill(a, z.fill)
-                where = np.indices(a.shape).reshape(rank, -1)
                 flat = a.ravel()
+                place = [f + i * c - w for f, i, c, (w, _) in zip(start, at, z.chunks, window)]
+                repeats = [math.prod(a.shape[d + 1 :]) for d in range(rank)]  # of each place along a dimension, and of the whole run of them
+                where = [np.tile(np.repeat(np.arange(f, f + m, dtype=np.int32), r), a.size // max(1, m * r)) for f, m, r in zip(place, a.shape, repeats)]
                 if t.startswith("decimal"):
                     import decimal
 
                     v = pa.array([decimal.Decimal(int(x)) if o else None for x, o in zip(flat, ok.ravel())], arrow)
                 else:
                     v = pa.array(flat.astype(arrow.to_pandas_dtype()), arrow, mask=~ok.ravel())
-                yield pa.record_batch([*(pa.array(w + i * c, pa.int32()) for w, i, c in zip(where, at, z.chunks)), v], [*(f"i{d}" for d in range(rank)), "v"])
+                yield pa.record_batch([*(pa.array(w, pa.int32()) for w in where), v], [*(f"i{d}" for d in range(rank)), "v"])
 
     schema = ", ".join([*(f"i{d} int" for d in range(rank)), f"v {t}"])
-    return NdArray(spark.range(0, n, 1, max(1, min(n, 10_000))).mapInArrow(run, schema), z.shape, z.dtype)
+    return NdArray(spark.range(0, n, 1, max(1, min(n, 10_000))).mapInArrow(run, schema), tuple(e - a for a, e in window), z.dtype)
 
 
 def zarr_grid(z: ZarrArray) -> Grid:
@@ -196,13 +239,21 @@ def zarr_grid(z: ZarrArray) -> Grid:
     return Grid(width, height, a, e, c - a / 2 * half, f - e / 2 * half, crs)
 
 
-def read_zarr_raster(spark: SparkSession, uri: str, index: tuple[int, ...] = (), ignore_fill: bool = False) -> Raster:
-    """The last two dimensions as a raster of float32; ``index`` fixes the others."""
+def read_zarr_raster(spark: SparkSession, uri: str, index: tuple[int, ...] = (), ignore_fill: bool = False, window: tuple[int, int, int, int] | None = None) -> Raster:
+    """The last two dimensions as a raster of float32; ``index`` fixes the others, ``window`` is (x, y, width, height).
+
+    Only the chunks that index and window touch are read.
+    """
     z = open_zarr(uri)
     if len(z.shape) < 2 or len(index) != len(z.shape) - 2:
         raise ValueError("a raster needs two dimensions, and an index for each other one")
-    a = read_zarr(spark, uri, ignore_fill)
-    for i in index:
-        a = a.select(0, i)
+    if any(not 0 <= i < n for i, n in zip(index, z.shape)):
+        raise ValueError("the index leaves the array")
+    grid = zarr_grid(z)
+    x, y, w, h = window or (0, 0, grid.width, grid.height)
+    grid = grid.window(x, y, w, h)
+    a = read_zarr(spark, uri, ignore_fill, (*((i, i + 1) for i in index), (y, y + h), (x, x + w)))
+    for _ in index:
+        a = a.select(0, 0)
     df = a.df.select(F.col("i0").alias("y"), F.col("i1").alias("x"), F.col("v").cast("float").alias("v"))
-    return Raster(df, z.shape[-1], z.shape[-2], zarr_grid(z))
+    return Raster(df, w, h, grid)

@@ -197,6 +197,29 @@ def test_geotiff_codecs_and_layouts(spark, tmp_path, compression, layout):
     assert (r.grid.origin_x, r.grid.origin_y, r.grid.res_y, r.grid.crs.name) == (1000.0, 2000.0, -30.0, "EPSG:32633")
 
 
+@pytest.mark.parametrize("layout", [{"block": (16, 16)}, {"block": (16, 16), "planar": True}])
+@pytest.mark.parametrize("window", [(17, 3, 9, 20), (0, 0, 37, 29), (31, 15, 6, 2), (5, 5, 0, 4)])
+def test_a_geotiff_window_reads_its_blocks_alone(spark, tmp_path, layout, window):
+    """The same cells and grid as a window of the whole; blocks that it does not touch may be broken."""
+    a, path = bands("float32"), f"{tmp_path}/a.tif"
+    mask = {"data": (np.indices((29, 37)).sum(0) % 5 > 0).astype("u1")[:, :, None] * np.uint8(255), "subfile": 4, "block": (16, 16)}
+    open(path, "wb").write(tiff([{"data": a, "compression": 8, "predictor": 3, "tags": GEO, **layout}, mask]))
+    x, y, w, h = window
+    want = geotiff.read_geotiff(spark, path, band=1).window(x, y, w, h)
+    (v, ok), grid = want.to_numpy(), want.grid
+    content, im = bytearray(open(path, "rb").read()), geotiff.open_geotiff(path).levels[0]
+    for k, (at, n) in enumerate(zip(im.offsets, im.counts)):
+        by, bx = divmod(k % (im.down * im.across), im.across)
+        if not (bx * 16 < x + w and x < bx * 16 + 16 and by * 16 < y + h and y < by * 16 + 16):
+            content[at : at + n] = b"!" * n
+    open(path, "wb").write(content)
+    r = geotiff.read_geotiff(spark, path, band=1, window=window)
+    got, valid = r.to_numpy()
+    assert r.grid == grid and (valid == ok).all() and same(got[ok], v[ok]) and got.shape == (h, w)
+    with pytest.raises(ValueError):
+        geotiff.read_geotiff(spark, path, window=(30, 0, 8, 1))
+
+
 @pytest.mark.parametrize("dtype", ["uint8", "int8", "uint16", "int16", "uint32", "int32", "float64"])
 def test_geotiff_samples(spark, tmp_path, dtype):
     a = bands(dtype)
@@ -331,6 +354,33 @@ def test_zarr(spark, tmp_path):
     assert zarr.crc32c(b"123456789") == 0xE3069283
 
 
+def test_a_zarr_window_reads_its_chunks_alone(spark, tmp_path):
+    """Chunks outside the index and the window are broken files, which nothing opens."""
+    a = np.arange(4 * 9 * 11, dtype=np.int32).reshape(4, 9, 11)
+    needed = {(1, i, j) for i in (1, 2) for j in (0, 1)}
+    store(tmp_path / "a", a, (2, 3, 4), [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}],
+          lambda at, part: part.tobytes() + struct.pack("<I", zarr.crc32c(part.tobytes())) if at in needed else b"broken", fill=-1, attributes={"spatial:transform": [10.0, 0.0, 100.0, 0.0, -10.0, 200.0]})
+    r = zarr.read_zarr_raster(spark, f"{tmp_path}/a", (3,), window=(2, 4, 5, 4))
+    got, ok = r.to_numpy()
+    assert ok.all() and (got == a[3, 4:8, 2:7]).all() and (r.grid.origin_x, r.grid.origin_y) == (120.0, 160.0)
+    n = zarr.read_zarr(spark, f"{tmp_path}/a", window=((2, 4), (3, 3), (0, 4)))
+    assert n.shape == (2, 0, 4) and n.df.count() == 0
+    for bad in ({"index": (4,)}, {"index": (0,), "window": (8, 0, 4, 1)}):
+        with pytest.raises(ValueError):
+            zarr.read_zarr_raster(spark, f"{tmp_path}/a", **bad)
+
+
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 3 * 1024 + 5, 7 * 1024, 70_001])
+def test_crc32c_of_many_lanes(n):
+    data = np.random.default_rng(n).integers(0, 256, n, np.uint8).tobytes()
+    c = 0xFFFFFFFF
+    for b in data:  # bit by bit
+        c ^= b
+        for _ in range(8):
+            c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+    assert zarr.crc32c(data) == c ^ 0xFFFFFFFF
+
+
 @pytest.mark.parametrize("dtype, fill", [("float64", "NaN"), ("float32", 0.0), ("uint64", 2**63), ("int8", -1)])
 def test_zarr_types_and_shards(spark, tmp_path, dtype, fill):
     rng = np.random.default_rng(2)
