@@ -21,10 +21,10 @@ CELL = 30.0
 #: Event types that the registered SQL has room for.
 TYPES = 5
 BREAKS, CLASSES = [50_000.0, 100_000.0, 250_000.0, 400_000.0], [1.0, 2.0, 3.0, 4.0, 5.0]
-XS, YS = [0.0, 50_000.0, 100_000.0, 200_000.0, 300_000.0, 400_000.0], [1.0, 1.1, 1.3, 1.9, 3.0, 4.5]
+XS, YS = [0.0, 40_000.0, 90_000.0, 180_000.0, 320_000.0, 420_000.0], [0.75, 0.9, 1.4, 2.2, 3.25, 5.0]
 W3 = [[1, 2, 1], [0, 4, -2], [0.5, 1, 3]]
-CONV5 = [[(j + 1) / 16 + (c + 1) / 64 for c in range(5)] for j in range(5)]
-GAUSS5 = [1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16]
+CONV5 = [[(3 * j - 2 * c + 4) / 32 for c in range(5)] for j in range(5)]
+GAUSS5 = [1 / 8, 2 / 8, 2 / 8, 2 / 8, 1 / 8]
 
 
 def _cells(spark: SparkSession, sf_dir: str, table: str, key: str, width: int, value: str) -> Raster:
@@ -146,6 +146,16 @@ def _resample_sql(method: str, ratio: float | None = None) -> str:
     return q.resampled(q.DEM, method, ratio, str(int(125 / ratio)), f"CAST(floor({q.ROWS} / {ratio!r}) AS BIGINT)", "125", q.ROWS)
 
 
+def _resampled_masked(spark, sf_dir, method: str) -> DataFrame:
+    r = _exact(masked(spark, sf_dir))
+    return out(resample.resample(r, _onto(r, _RATIO[method]), method))
+
+
+def _resample_masked_sql(method: str) -> str:
+    ratio = _RATIO[method]
+    return q.resampled_masked(q.MASKED, method, ratio, str(int(125 / ratio)), f"CAST(floor({q.ROWS} / {ratio!r}) AS BIGINT)", "125", q.ROWS)
+
+
 def _mosaic(spark, sf_dir):
     a, b = _exact(dem(spark, sf_dir)), _exact(masked(spark, sf_dir), 20, 2)
     return out(resample.mosaic([a, b], _onto(a, 0.5), "nearest"))
@@ -296,6 +306,9 @@ _ENTRIES = {
     "ter_tpi": (lambda s, d: out(terrain.ruggedness(masked(s, d), "tpi")), q.ruggedness(q.MASKED, "tpi")),
     "ter_roughness": (lambda s, d: out(terrain.ruggedness(dem(s, d), "roughness")), q.ruggedness(q.DEM, "roughness")),
     "ter_tpi_r3": (lambda s, d: out(terrain.ruggedness(dem(s, d), "tpi", 3)), q.ruggedness(q.DEM, "tpi", 3)),
+    "ter_tri_r2": (lambda s, d: out(terrain.ruggedness(dem(s, d), "tri_riley", 2)), q.ruggedness(q.DEM, "tri_riley", 2)),
+    "ter_tri_wilson_r2": (lambda s, d: out(terrain.ruggedness(dem(s, d), "tri_wilson", 2)), q.ruggedness(q.DEM, "tri_wilson", 2)),
+    "ter_roughness_r4": (lambda s, d: out(terrain.ruggedness(dem(s, d), "roughness", 4)), q.ruggedness(q.DEM, "roughness", 4)),
     "ter_heatload": (lambda s, d: out(terrain.heat_load(dem(s, d), CELL, 46)), _heat(46, 1, False, 45)),
     "ter_radiation": (lambda s, d: out(terrain.heat_load(dem(s, d), CELL, -30, radiation=True)), _heat(-30, 1, True, 180)),
     "ter_northness": (lambda s, d: out(terrain.orientation(dem(s, d), CELL, weighted=True)), q.double_of_gradient(q.DEM, CELL, "gy / sqrt(1 + g2)")),
@@ -312,6 +325,7 @@ _ENTRIES = {
     "foc_min": (lambda s, d: out(focal.minimum(masked(s, d), 2)), q.box_extreme(q.MASKED, 2, "least")),
     "foc_max": (lambda s, d: out(focal.maximum(dem(s, d), 2)), q.box_extreme(q.DEM, 2, "greatest")),
     **{f"rs_{m}": (lambda s, d, m=m: out(_resampled(s, d, m)), _resample_sql(m)) for m in resample.METHODS},
+    **{f"rs_{m}_masked": (lambda s, d, m=m: _resampled_masked(s, d, m), _resample_masked_sql(m)) for m in ("nearest", "bilinear", "average")},
     "rs_mosaic": (_mosaic, _MOSAIC_SQL),
     "rs_mosaic_covers": (_covers, "SELECT true AS whole, false AS part"),
     "red_count": (lambda s, d: reduce.count(masked(s, d)), f"SELECT count(v) AS count FROM ({q.MASKED})"),

@@ -201,3 +201,15 @@ def resampled(source: str, method: str, ratio: float, width: str, height: str, s
     j = f"floor((o.{{0}} + CAST(0.5 AS DOUBLE)) * {ratio!r} - 0.5)"
     clipped = " OR ".join(f"{j.format(a)} - 1 < 0 OR {j.format(a)} + 2 >= {n}" for a, n in (("x", src_width), ("y", src_height)))
     return f"{sql}, {passes('bilinear', 'b', False)} SELECT o.y, o.x, CAST(CASE WHEN {clipped} THEN b.v ELSE o.v END AS DOUBLE) AS v FROM o JOIN ob b ON b.y = o.y AND b.x = o.x"
+
+
+def resampled_masked(source: str, method: str, ratio: float, width: str, height: str, src_width: str, src_height: str) -> str:
+    """The same for a source with invalid cells (not for cubic and Lanczos): sums of values and of weights of the valid taps."""
+    fold = "list_reduce(list(CAST({} AS FLOAT) ORDER BY t.i), lambda a, b: a + b)".format
+    centre = "" if method == "average" else f" AND EXISTS (SELECT 1 FROM d WHERE d.v IS NOT NULL AND d.y = floor((o.y + CAST(0.5 AS DOUBLE)) * {ratio!r}) AND d.x = floor((o.x + CAST(0.5 AS DOUBLE)) * {ratio!r}))"
+    return (
+        f"WITH d AS ({source}), {axis('tx', method, ratio, width, src_width)}, {axis('ty', method, ratio, height, src_height)}, "
+        f"h AS (SELECT d.y, t.c AS x, {fold('coalesce(d.v, 0) * t.w')} AS v, {fold('CASE WHEN d.v IS NULL THEN 0 ELSE t.w END')} AS w, count(d.v) AS k, count(*) AS n FROM d JOIN tx t ON d.x = t.i GROUP BY d.y, t.c), "
+        f"o AS (SELECT t.c AS y, h.x, {fold('h.v * t.w')} AS v, {fold('h.w * t.w')} AS w, sum(h.k) AS k, sum(h.n) AS n FROM h JOIN ty t ON h.y = t.i GROUP BY t.c, h.x) "
+        f"SELECT y, x, CAST(CASE WHEN w > 0{centre} THEN CASE WHEN k = n THEN v ELSE v / w END END AS DOUBLE) AS v FROM o"
+    )
