@@ -25,8 +25,12 @@ STRIP_CELLS = 1 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``), or under /tmp where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); a local session without one gets /tmp, a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster sees")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/gridloom-raster/{uuid.uuid4().hex}-{name}"
 
 
