@@ -18,6 +18,8 @@ from gridloom.llm.shared import sized, stored, table
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for texts that aren't lower-cased.
+_BETWEEN_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text):
@@ -33,9 +35,10 @@ def split_words(text: str):
     return F.split(ascii_lower(text), _BETWEEN, -1)
 
 
-def _count(text):
-    """Number of words, of either case."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+def _count(pieces):
+    """Number of words of a text from its pieces between separators."""
+    first, last = F.element_at(pieces, 1) == "", F.element_at(pieces, -1) == ""
+    return F.coalesce(F.size(pieces) - first.cast("int") - (last & (F.size(pieces) > 1)).cast("int"), F.lit(0)).cast("long")
 
 
 def item_words(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -140,7 +143,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     )
     found = stored(found, "contaminated")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    out = d.select("doc_id", _count(F.col("text")).alias("n_words")).join(sized(found), "doc_id", "left")
+    # cut without lower-casing, which changes no word's ends
+    pieces = d.select("doc_id", F.split("text", _BETWEEN_ANY, -1).alias("pieces"))
+    out = pieces.select("doc_id", _count(F.col("pieces")).alias("n_words")).join(sized(found), "doc_id", "left")
     return out.select(
         F.col("doc_id").alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.encode(F.array_join(F.sort_array(ids), ","), "UTF-8"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
