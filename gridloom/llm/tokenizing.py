@@ -3,9 +3,10 @@
 A byte-level BPE without normalizer never merges across a place where a space follows a
 non-space character, so a text is the concatenation of its space-led units. The units of a
 batch are dictionary-encoded by Arrow and each distinct unit goes through the tokenizer
-library once for each worker; a text's ids are then gathered with numpy. Texts in which a
-space follows other white space, and all texts of other kinds of tokenizer, go to the
-library whole (byte-level ones cut at safe places if they are long).
+library once; a text's ids are then gathered with numpy. A worker remembers units that a batch
+had more than once, as most others never come again. Texts in which a space follows other white
+space, and all texts of other kinds of tokenizer, go to the library whole (byte-level ones cut
+at safe places if they are long).
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import pyarrow.compute as pc
 
 #: The White_Space characters of Unicode, as the tokenizers' pattern ``\s`` has them.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-_HAZARD = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "] "
+_WHITE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "]"
+_HAZARD, _ENDS = _WHITE + " ", f"^$|{_WHITE}\\z"
 #: Bytes of text that are encoded at a time, and of a piece of a long text.
 BATCH_BYTES, PIECE_CHARS = 2 << 20, 1 << 18
 #: Distinct units, and bytes of them, that a worker remembers; beyond, it keeps those of the batch at hand.
 CACHE_UNITS, CACHE_BYTES = 450_000, 14 << 20
-_CHUNK = 256
+#: Units in a text for the library, and such texts at a time.
+_CHUNK, _CHUNKS = 256, 16
 _loaded: dict = {}
 
 
@@ -53,7 +56,10 @@ def safe_pieces(text: str, limit: int = PIECE_CHARS) -> list[str]:
 
 
 class ByteUnits:
-    """Ids of texts by their space-led units; see the module's text."""
+    """Ids of texts by their space-led units; see the module's text.
+
+    Units stay in Arrow's buffers from the split to the library's input; none becomes a Python string of its own.
+    """
 
     def __init__(self, tok):
         self.tok = tok
@@ -61,106 +67,99 @@ class ByteUnits:
         self.led = np.zeros(max(vocab.values()) + 1, bool)
         for t, i in vocab.items():
             self.led[i] = t.startswith("Ġ")  # the byte alphabet's space
-        self.full, self.last = False, None
-        self.reset()
-
-    def reset(self):
-        self.slots: dict[str, int] = {}
-        self.heads: dict[str, int] = {}
-        self.n, self.used, self.chars = 0, 0, 0
-        self.start, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
-
-    def keep(self, units: list[str], heads: list[str]):
-        """Forget all but these known units."""
-        old = [(np.fromiter(map(known.__getitem__, some), np.int64, len(some)), some) for known, some in ((self.slots, units), (self.heads, heads))]
-        held = [(self._flat(slots), self.len[slots], some) for slots, some in old]
-        self.reset()
-        for (ids, lens, some), into in zip(held, (self.slots, self.heads)):
-            into.update(zip(some, self._put(ids, lens)))
-            self.chars += sum(map(len, some))
-
-    def _flat(self, slots: np.ndarray) -> np.ndarray:
-        """The ids of units, one after the other."""
-        lens = self.len[slots]
-        ends = np.cumsum(lens)
-        return self.ids[np.repeat(self.start[slots] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def _put(self, ids: np.ndarray, lens: np.ndarray) -> range:
-        while self.n + len(lens) > len(self.len):
-            self.start, self.len = np.resize(self.start, 2 * len(self.start)), np.resize(self.len, 2 * len(self.len))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        new = range(self.n, self.n + len(lens))
-        self.len[new.start : new.stop] = lens
-        self.start[new.start : new.stop] = self.used + np.cumsum(lens) - lens
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.n, self.used = new.stop, self.used + len(ids)
-        return new
+        self.forget()
+
+    def forget(self):
+        """Forget all units."""
+        self.known = pa.array([], pa.string())
+        self.ids, self.len = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_alone(self, keys: list[str], texts: list[str], into: dict):
-        if keys:
-            got = self.whole(texts)
-            into.update(zip(keys, self._put(np.concatenate(got), np.array([len(x) for x in got]))))
-
-    def _learn(self, units: list[str]):
-        alone = [u for u in units if not u or u[-1] in WHITE]
-        rest = [u for u in units if u and u[-1] not in WHITE]
-        self._learn_alone(alone, [" " + u for u in alone], self.slots)
-        chunks = [rest[i : i + _CHUNK] for i in range(0, len(rest), _CHUNK)]
-        for k in range(0, len(chunks), 64):
-            some = chunks[k : k + 64]
-            for units_, ids in zip(some, self.whole(["".join(" " + u for u in c) for c in some])):
-                first = np.flatnonzero(self.led[ids])
-                if len(first) == len(units_):
-                    self.slots.update(zip(units_, self._put(ids, np.diff(np.append(first, len(ids))))))
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and each text's number of them."""
+        ids, lens = [np.zeros(0, np.uint32)], []
+        for k in range(0, len(texts), _CHUNKS * _CHUNK):
+            got = self.whole(texts[k : k + _CHUNKS * _CHUNK])
+            ids.append(np.concatenate(got))
+            lens += map(len, got)
+        return np.concatenate(ids), np.array(lens, np.int64)
+
+    def _learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for space-led units that end in no white space, many of them in a text."""
+        ids, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        cuts = np.minimum(np.arange(0, len(units) + _CHUNK, _CHUNK), len(units)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), units), " ")
+        for k in range(0, len(joined), _CHUNKS):
+            for i, got in enumerate(self.whole([" " + x for x in joined.slice(k, _CHUNKS).to_pylist()]), k):
+                first = np.flatnonzero(self.led[got])
+                if len(first) == cuts[i + 1] - cuts[i]:
+                    n = np.diff(first, append=len(got))
                 else:
-                    self._learn_alone(units_, [" " + u for u in units_], self.slots)
+                    got, n = self._alone([" " + u for u in units[cuts[i] : cuts[i + 1]].to_pylist()])
+                ids.append(got)
+                lens.append(n)
+        return np.concatenate(ids), np.concatenate(lens)
 
-    def by_slot(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of all units of hazard-free texts, one text after the other, and each text's first place."""
+    def by_slot(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of hazard-free texts: slots of all units, one text after the other; each text's first place; ids and lengths of the slots."""
         lists = pc.split_pattern(texts, " ")
-        offs = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        first = (lists.offsets.to_numpy() - lists.offsets[0].as_py())[:-1]
         flat = lists.flatten().dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        known = self.slots
-        missing = [u for u in distinct if u not in known]
-        if missing:
-            self._learn(missing)
-            self.chars += sum(map(len, missing))
-        slots = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[flat.indices.to_numpy()]
-        first = offs[:-1]
-        heads = [distinct[i] for i in flat.indices.to_numpy()[first]]
-        new = list(dict.fromkeys(h for h in heads if h not in self.heads))
-        self._learn_alone(new, new, self.heads)
-        slots[first] = [self.heads[h] for h in heads]
-        self.full = self.n > CACHE_UNITS or self.chars > CACHE_BYTES
-        if self.full:
-            self.last = distinct, list(dict.fromkeys(heads))
-        return slots, first
-
-    def _trimmed(self):
-        """Shrink what is remembered if it is too much; called when slots are no longer needed."""
-        if self.full:
-            self.keep(*self.last)
-            if self.n > CACHE_UNITS // 2 or self.chars > CACHE_BYTES // 2:
-                self.reset()
-            self.full, self.last = False, None
+        del lists
+        distinct, unit = flat.dictionary, flat.indices.to_numpy()
+        del flat
+        # a text's first unit has no space before it
+        heads, head = np.unique(unit[first], return_inverse=True)
+        often = np.bincount(unit, minlength=len(distinct)) - np.bincount(unit[first], minlength=len(distinct))
+        slot = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        old = slot >= 0
+        new = ~old & (often > 0)
+        alone = new & np.asarray(pc.match_substring_regex(distinct, _ENDS))
+        parts, lens, n = [self.ids], [self.len], len(self.known)
+        for places, learn in ((np.flatnonzero(new & ~alone), self._learn), (np.flatnonzero(alone), lambda u: self._alone([" " + x for x in u.to_pylist()])), (heads, lambda u: self._alone(u.to_pylist()))):
+            got, k = learn(distinct.take(pa.array(places)))
+            parts.append(got)
+            lens.append(k)
+            if places is not heads:
+                slot[places] = np.arange(n, n + len(places))
+                n += len(places)
+        ids, lens = np.concatenate(parts), np.concatenate(lens)
+        slots = slot[unit]
+        slots[first] = n + head
+        self._remember(distinct, slot, old & (often > 0), new & (often > 1), ids, lens)
+        return slots, first, ids, lens
+
+    def _remember(self, distinct: pa.Array, slot: np.ndarray, met: np.ndarray, more: np.ndarray, ids: np.ndarray, lens: np.ndarray):
+        """Add the units of ``more`` to the known ones; if these are too many, keep those of ``met`` and ``more``, or forget all."""
+        mine = np.flatnonzero(met | more)
+        some, slots = distinct.take(pa.array(mine)), slot[mine]
+        idle = np.ones(len(self.known), bool)
+        idle[slot[met]] = False
+        rest = self.known.filter(pa.array(idle))
+        if len(some) + len(rest) <= CACHE_UNITS and some.nbytes + rest.nbytes <= CACHE_BYTES:
+            some, slots = pa.concat_arrays([some, rest]), np.append(slots, np.flatnonzero(idle))
+        elif len(some) > CACHE_UNITS or some.nbytes > CACHE_BYTES:
+            return self.forget()
+        self.known, self.ids, self.len = some, _flat(slots, ids, lens), lens[slots]
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
-        slots, first = self.by_slot(texts)
-        out = np.add.reduceat(self.len[slots], first)
-        self._trimmed()
-        return out
+        slots, first, _, lens = self.by_slot(texts)
+        return np.add.reduceat(lens[slots], first)
 
     def gather(self, texts: pa.Array) -> list[np.ndarray]:
-        slots, first = self.by_slot(texts)
-        flat, per_text = self._flat(slots), np.add.reduceat(self.len[slots], first)
-        self._trimmed()
-        return np.split(flat, np.cumsum(per_text)[:-1])
+        slots, first, ids, lens = self.by_slot(texts)
+        return np.split(_flat(slots, ids, lens), np.cumsum(np.add.reduceat(lens[slots], first))[:-1])
+
+
+def _flat(slots: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The ids of slots, one after the other; ``lens``: how many of ``ids`` each slot has."""
+    n = lens[slots]
+    shift = (np.cumsum(lens) - lens)[slots] - (np.cumsum(n) - n)
+    at = np.repeat(shift, n)
+    at += np.arange(len(at))
+    return ids[at]
 
 
 class Encoder:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -43,6 +44,29 @@ def test_a_small_memory_gives_the_same_ids(monkeypatch):
     assert [x.tolist() for x in Encoder(*tokenizer_file(BYTES)).run(pa.array(texts), False)] == plain(texts)
 
 
+def test_units_cost_no_python_string_and_single_ones_are_forgotten():
+    random.seed(6)
+    texts = [" ".join("".join(random.choices("abcdefghij", k=9)) for _ in range(500)) + " so it goes so it goes" for _ in range(100)]
+    want, texts, enc = plain(texts), pa.array(texts), Encoder(*tokenizer_file(BYTES))
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    got = enc.run(texts, False)
+    (held, most), arrow = tracemalloc.get_traced_memory(), pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert [x.tolist() for x in got] == want
+    assert held + arrow < 3 << 20 and most < 10 << 20  # 9 and 14 MB where each unit is a string in a dictionary
+
+
+def test_a_remembered_unit_goes_to_the_library_once(monkeypatch):
+    enc = Encoder(*tokenizer_file(BYTES))
+    texts = pa.array(["x the one", "y the\n one", "z the one"])
+    want, whole, sent = plain(texts.to_pylist()), enc.units.whole, []
+    monkeypatch.setattr(enc.units, "whole", lambda some: (sent.extend(some), whole(some))[1])
+    assert [x.tolist() for x in enc.run(texts, False)] == want and any(" the" in x for x in sent)
+    sent.clear()
+    assert [x.tolist() for x in enc.run(texts.slice(0, 1), False)] == want[:1] and not any(" the" in x or " one" in x for x in sent)
+
+
 def test_safe_pieces_keep_the_tokens():
     for text in random_texts(300):
         pieces = safe_pieces(text, 5)
