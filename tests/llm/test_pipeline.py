@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
@@ -93,3 +94,20 @@ def test_rows_of_one_doc_id_are_decided_alone(spark, tmp_path):
 def test_without_labels_texts_with_letters_stay(spark):
     df = spark.createDataFrame([(1, "kato rimu", None, "s", 9), (2, None, None, "s", 0), (3, "12 !", None, "s", 4), (4, "berung", None, "s", 6)], SCHEMA)
     assert sorted(r.doc_id for r in p.language_stage(spark, df, "").collect()) == [1, 4]
+
+
+def test_workers_remember_little_after_the_token_stage(spark):
+    rng = random.Random(8)
+    words = lambda: " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(200))
+    docs = spark.createDataFrame([(i, f"{words()} so it goes so it goes") for i in range(200)], "doc_id long, text string")
+    assert p.tokens_stage(spark, docs, "").count() == 200
+
+    def probe(batches):
+        from gridloom.llm import tokenizing
+
+        for _ in batches:
+            for enc in tokenizing._loaded.values():
+                yield pa.record_batch([pa.array([max(len(x) for x in vars(enc.units).values() if isinstance(x, (dict, pa.Array)))])], ["units"])
+
+    held = [r.units for r in spark.range(64).repartition(16).mapInArrow(probe, "units long").collect()]
+    assert held and max(held) < 1000
