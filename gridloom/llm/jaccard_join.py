@@ -35,6 +35,10 @@ from gridloom.llm.tokenizing import plain_text
 CELL_BITS, SLICES, GROUP = 18, 64, 4096
 #: Groups that a document joins: its first shared n-grams, so many of each class of frequency (powers of 4).
 PICKS = 3
+#: Sets of a group that are compared with all others first, members of a list that are compared at once, pairs of a packed row batch.
+HUBS, FEW, PAIRS = 8, 256, 1 << 19
+#: Keys of copies that are broadcast (32 MB).
+COPIES = 4 << 20
 _TOP = np.uint64(1 << 63)
 
 
@@ -100,12 +104,23 @@ def _signed(s: np.ndarray) -> np.ndarray:
     return (s ^ _TOP).view(np.int64)
 
 
-def _postings(held):
-    """Prefix n-grams (token, doc_id, n); a set that this task has seen before gives none."""
+def _absent(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which ids the sorted array doesn't have."""
+    return np.searchsorted(held, ids, "right") == np.searchsorted(held, ids, "left")
+
+
+def _packed_ids(batches):
+    for b in batches:
+        yield pa.record_batch([pa.array([b.column(0).to_numpy().tobytes()], pa.binary())], ["ids"])
+
+
+def _postings(held, copies):
+    """Prefix n-grams (token, doc_id, n); ``copies`` and sets that this task has seen before give none."""
 
     def run(batches):
-        hot, seen = held.value, set()
+        hot, seen, skipped = held.value, set(), copies.value
         for b in frugal(batches, 1):
+            b = b.filter(pa.array(_absent(b.column(0).to_numpy(), skipped)))
             tokens, ids, ns = [], [], []
             for d, s in zip(b.column(0).to_pylist(), sets_of(plain_text(b.column(1)))):
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -167,8 +182,11 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, probes: np.ndarray |
     """Pairs (i, j) of sets (sorted, in global order) that link, enough to connect all that do.
 
     Pairs of one label are taken as connected already. With ``probes`` only pairs with one of
-    them count. The sets are kept as a tree: sorted, a range of them with a common beginning is a
-    node. Overlaps with all sets are carried down as a vector.
+    them count. The most central sets are compared with all others first, which connects copies
+    of one text. Where few sets are left outside the largest component, or few probes are given, every pair
+    still open has an end among them and they are compared with all. Otherwise the sets are kept
+    as a tree: sorted, a range of them with a common beginning is a node, and overlaps with all sets are
+    carried down as a vector.
     """
     full = np.array([len(s) for s in sets])
     vocab, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -187,39 +205,70 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, probes: np.ndarray |
     owners = np.repeat(np.arange(k), m)[order]
     size = np.bincount(np.concatenate(seqs), minlength=int((count > 1).sum()))
     first = np.cumsum(size) - size
+    comp = np.unique(tags, return_inverse=True)[1]
+
+    def counted(grams):
+        """How many of the n-grams each set has."""
+        lists = np.repeat(first[grams] - (np.cumsum(size[grams]) - size[grams]), size[grams]) + np.arange(int(size[grams].sum()))
+        return np.bincount(owners[lists], minlength=k)
+
+    def joined(i, over, among):
+        """Connects set i and those among the others that reach the threshold."""
+        for j in np.flatnonzero((over >= pair_need(full, full[i])) & among & (comp != comp[i]) & (asks | asks[i])).tolist():
+            if comp[i] != comp[j]:
+                comp[comp == comp[j]] = comp[i]
+                yield int(alive[i]), int(alive[j])
+
+    def star(i):
+        over = np.zeros(k, np.int64)
+        for at in range(0, len(seqs[i]), 64):
+            over += counted(seqs[i][at : at + 64])
+        return joined(i, over, np.ones(k, bool))
+
+    if k >= 8:
+        central = np.array([size[s].sum() for s in seqs]) / full
+        for _ in range(HUBS):
+            outside = np.flatnonzero((comp != np.bincount(comp).argmax()) & asks)
+            if not len(outside):
+                break
+            links = list(star(int(outside[central[outside].argmax()])))
+            yield from links
+            if 16 * len(links) < len(outside):
+                break
+    if (comp == comp[0]).all():
+        return
+    ends = min(np.flatnonzero(asks), np.flatnonzero(comp != np.bincount(comp).argmax()), key=len)
+    if 4 * len(ends) <= k:
+        for i in ends.tolist():
+            yield from star(i)
+        return
+
     common = np.zeros(k, np.int64)
     for i in range(1, k):
         a, b = seqs[i - 1], seqs[i]
         n = min(len(a), len(b))
         diff = a[:n] != b[:n]
         common[i] = int(diff.argmax()) if diff.any() else n
-    parent: dict = {}
     stack = [(0, k, 0, np.zeros(k, np.int64))]
     while stack:
         lo, hi, depth, over = stack.pop()
+        later = np.arange(k) > lo
+        if (comp[lo:hi] == comp[lo]).all():
+            later &= comp != comp[lo]
         stop = int(common[lo + 1 : hi].min()) if hi - lo > 1 else int(m[lo])
         least, longest = int(full[lo:hi].min()), int(m[lo:hi].max())
         bound = np.maximum(pair_need(full, least), 0)
-        later = np.arange(k) > lo
-        gone = False
-        while depth < stop:
+        gone = not later.any()
+        while depth < stop and not gone:
             step = seqs[lo][depth : min(depth + 64, stop)]
-            lists = np.repeat(first[step] - (np.cumsum(size[step]) - size[step]), size[step]) + np.arange(int(size[step].sum()))
-            over = over + np.bincount(owners[lists], minlength=k)
+            over = over + counted(step)
             depth += len(step)
             # what is left on this branch, and in each other set
-            if not (later & (over + np.minimum(longest - depth, m - over) >= bound)).any():
-                gone = True
-                break
+            gone = not (later & (over + np.minimum(longest - depth, m - over) >= bound)).any()
         if gone:
             continue
         if hi - lo == 1:
-            hit = np.flatnonzero((over >= pair_need(full, full[lo])) & later & (tags != tags[lo]) & (asks | asks[lo]))
-            for j in hit.tolist():
-                a, b = _root(parent, int(tags[lo])), _root(parent, int(tags[j]))
-                if a != b:
-                    parent[a] = b
-                    yield int(alive[lo]), int(alive[j])
+            yield from joined(lo, over, later)
             continue
         cuts = [lo, *(np.flatnonzero(common[lo + 1 : hi] == stop) + lo + 1).tolist(), hi]
         stack += [(a, b, stop, over) for a, b in zip(cuts, cuts[1:])]
@@ -255,29 +304,76 @@ def _link(batches):
             yield pa.record_batch([pa.array([_root(parent, x) for x in parent], pa.int64()), pa.array(list(parent), pa.int64())], ["a", "b"])
 
 
+def _unmet(t):
+    """Pairs (x, its n, y, its n) of reps x < y of different labels under one token that no group has compared, in arrays.
+
+    Short lists are compared all at once, by the distance of two rows. In a long one each member outside
+    the most frequent label is compared with all others; no pair inside that label is looked at.
+    """
+    token, rep, n, label = (t.column(i).to_numpy() for i in range(4))
+    lists = t.column(4).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    held = np.diff(offs)
+    picks = flat[offs[:-1, None] + np.minimum(np.arange(held.max()), held[:, None] - 1)]  # short rows repeat their last
+    here = (picks == token[:, None]).any(axis=1)  # in the token's own group
+
+    def open_pairs(i, j):
+        ok = (label[i] != label[j]) & ~(here[i] & here[j]) & (np.minimum(n[i], n[j]) >= need(np.maximum(n[i], n[j])))
+        i, j = i[ok], j[ok]
+        met, other = np.zeros(len(i), bool), picks[j]
+        for c in picks[i].T:
+            met |= (other == c[:, None]).any(axis=1)
+        i, j = i[~met], j[~met]
+        i, j = np.where(rep[i] < rep[j], i, j), np.where(rep[i] < rep[j], j, i)
+        return rep[i], n[i], rep[j], n[j]
+
+    cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    size = np.diff(cuts)
+    end = np.repeat(np.where(size <= FEW, cuts[1:], 0), size)
+    for d in range(1, min(FEW, int(size.max()))):
+        i = np.flatnonzero(np.arange(len(token)) + d < end)
+        yield open_pairs(i, i + d)
+    for k in np.flatnonzero(size > FEW).tolist():
+        part = np.arange(cuts[k], cuts[k + 1])
+        names, at, count = np.unique(label[part], return_inverse=True, return_counts=True)
+        most = at == count.argmax()
+        # the list's 64 most frequent groups as bits: most pairs have met in one of them
+        groups, at, count = np.unique(picks[part], return_inverse=True, return_counts=True)
+        bit = np.zeros(len(groups), np.uint64)
+        often = np.argsort(-count)[:64]
+        bit[often] = np.uint64(1) << np.arange(len(often), dtype=np.uint64)
+        bits = np.bitwise_or.reduce(bit[at.reshape(len(part), -1)], axis=1)
+        for x in np.flatnonzero(~most).tolist():
+            i = int(part[x])
+            j = part[(most | (part > i)) & (bits & bits[x] == 0)]
+            if not len(j):
+                continue
+            yield open_pairs(np.full(len(j), i), j)
+
+
 def _listed(batches):
     """Of rows (token, rep, n, label, picks) sorted by token: for each rep those after it that no group has compared."""
 
-    def pairs(t):
-        token, rep, n, label = (t.column(i).to_numpy() for i in range(4))
-        lists = t.column(4).combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1])).tolist() + [len(token)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            part, first = slice(lo, hi), offs[lo:hi] - offs[lo]
-            here = flat[offs[lo] : offs[hi]]
-            for i in range(lo, hi):
-                ok = (rep[part] > rep[i]) & (label[part] != label[i]) & (np.minimum(n[part], n[i]) >= need(np.maximum(n[part], n[i])))
-                if ok.any():
-                    ok &= ~np.logical_or.reduceat(np.isin(here, flat[offs[i] : offs[i + 1]]), first)
-                    if ok.any():
-                        yield rep[i], n[i], np.stack([rep[part][ok], n[part][ok].astype(np.int64)]).tobytes()
+    def packed(found):
+        x, nx, y, ny = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(x, kind="stable")
+        x, nx, both = x[order], nx[order], np.stack([y[order], ny[order]])
+        cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])).tolist()
+        blobs = [both[:, a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        return pa.record_batch([pa.array(x[cuts[:-1]], pa.int64()), pa.array(nx[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["rep", "n", "others"])
 
     def out(t):
-        got = list(pairs(t))
-        if got:
-            yield pa.record_batch([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.binary())], ["rep", "n", "others"])
+        found, rows = [], 0
+        for pairs in _unmet(t):
+            if len(pairs[0]):
+                found.append(pairs)
+                rows += len(pairs[0])
+            if rows > PAIRS:
+                yield packed(found)
+                found, rows = [], 0
+        if found:
+            yield packed(found)
 
     kept = None
     for b in batches:
@@ -380,11 +476,21 @@ def _components_of_rows(rows: DataFrame) -> DataFrame | None:
     twins = named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("key", "rep")
     classes = compact(named.join(twins, "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "classes")
 
-    posted = rows.where("doc_id is not null").mapInArrow(_postings(held), "token long, doc_id long, n int")
+    # of equal sets the representative alone is posted: keys of the others go out, 8 bytes each; where
+    # they are more than COPIES, some of them do, and the rest is replaced after the shuffle
+    others = classes.where("doc_id <> rep")
+    share = -(-others.count() // COPIES)
+    sent = others.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) if share > 1 else others
+    packed = [np.frombuffer(r[0], np.int64) for r in sent.select("doc_id").mapInArrow(_packed_ids, "ids binary").collect()]
+    copies = spark.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *packed])))
+    posted = rows.where("doc_id is not null").mapInArrow(_postings(held, copies), "token long, doc_id long, n int")
     shared = stored(_dealt(posted, "token").mapInArrow(_shared, "token long, doc_id long, n int"), "shared")
-    a = shared.join(sized(classes.where("doc_id <> rep")), "doc_id", "left").select("token", F.coalesce("rep", "doc_id").alias("rep"), F.col("n").cast("long").alias("n")).distinct()
-    a = compact(a, "postings")
-    dropped(spark, shared)
+    a = shared.select("token", F.col("doc_id").alias("rep"), F.col("n").cast("long").alias("n"))
+    a.scratch_path = shared.scratch_path
+    if share > 1:
+        a = shared.join(sized(others), "doc_id", "left").select("token", F.coalesce("rep", "doc_id").alias("rep"), F.col("n").cast("long").alias("n")).distinct()
+        a = compact(a, "postings")
+        dropped(spark, shared)
     for _ in range(2):
         tokens = a.groupBy("token").agg((F.min("rep") != F.max("rep")).alias("ok")).where("ok").select("token")
         b = a.join(tokens, "token", "left_semi")
